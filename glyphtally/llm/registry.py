@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL; keys are the names in queries()."""
 
-from . import mixing, packing, quality
+from . import mixing, packing, quality, simhash, templates
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_line_dedup": templates.op7_line_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_quality_rules": quality.op10_quality_rules,
 }
