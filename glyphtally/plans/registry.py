@@ -1,4 +1,6 @@
 """All queries by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .queries import QUERIES
+from .sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
