@@ -108,13 +108,13 @@ def numbers_in(t: str, i: int, j: int):
         (_PHONE, "phone", lambda s: 8 <= sum(c.isdigit() for c in s) <= 15),
     ):
         for m in rx.finditer(t, i, j):
-            before, after = t[m.start() - 1 : m.start()], t[m.end() : m.end() + 1]
+            before, after = t[max(0, m.start() - 1) : m.start()], t[m.end() : m.end() + 1]
             if good(m.group()) and not before.isalnum() and not after.isalnum():
                 yield kind, m.start(), m.end()
 
 
 def scan(t: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of what text holds, in order, without overlaps: of two, the earlier, then the longer one."""
+    """(kind, start, end) of what text holds, in order, without overlaps: of two, the earlier, then the longer, then the one that isn't just a number after a cue."""
     found, done, run = [], 0, 0
     for at, (kind, size) in anchors().iter(t):
         p = at - size + 1
@@ -126,7 +126,7 @@ def scan(t: str) -> list[tuple[str, int, int]]:
                 found.append(hit)
                 done = hit[2]
         elif kind == 3:
-            if (m := _ACCOUNT.match(t, at + 1)) and not t[p - 1 : p].isalnum():
+            if (m := _ACCOUNT.match(t, at + 1)) and not t[max(0, p - 1) : p].isalnum() and not t[at + 1 : at + 2].isalnum():
                 found.append(("account", m.start(1), m.end(1)))
         elif p >= run:  # once for each run of digits
             i, j, n = p, at + 1, len(t)
@@ -144,7 +144,7 @@ def scan(t: str) -> list[tuple[str, int, int]]:
                 if text:
                     found.append(("iban", m.start(), m.start() + len(text)))
     out, end = [], -1
-    for kind, i, j in sorted(set(found), key=lambda x: (x[1], -x[2], x[0])):
+    for kind, i, j in sorted(set(found), key=lambda x: (x[1], -x[2], x[0] == "account", x[0])):
         if i >= end:
             out.append((kind, i, j))
             end = j
