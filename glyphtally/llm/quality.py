@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,50 +19,74 @@ PUNCTUATION = r"[.,;:!?…]"
 SYMBOLS = r"[^\p{L}\p{N}\p{M} \t.,;:!?'\"’”“«»()…-]"
 
 
-def fails(line: Column) -> Column:
+#: What the symbol rule passes without a regular expression, for speed alone: what is left of a line is then short.
+PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \t.,;:!?'\"()-"
+#: A text without any of these has no notice, boilerplate or navigation: a quick test before the expressions above.
+HINTS = {"licence": ("licensed under", "released under", "rights reserved", "copyright", "©"), "navigation": ("|", "»", "›", "•"), "boilerplate": ("cookie", "privacy policy", "terms ", "javascript", "lorem ipsum", "subscribe to", "sign up for", "click here", "read more")}
+
+
+def without(text: Column, chars: str) -> Column:
+    return F.translate(text, chars, "")
+
+
+def fails(line: Column, may: dict[str, Column]) -> Column:
     """Why a trimmed, non-empty line goes (null: it stays): licence, navigation, boilerplate, symbols, punctuation or repetition."""
-    words = F.length(line) - F.length(F.translate(line, " ", "")) + 1
-    symbols = F.length(line) - F.length(F.regexp_replace(line, SYMBOLS, ""))
-    marks = F.length(line) - F.length(F.regexp_replace(line, PUNCTUATION, ""))
+    words = F.length(line) - F.length(without(line, " ")) + 1
+    rest = without(line, PLAIN)
+    symbols = F.length(rest) - F.length(F.regexp_replace(rest, SYMBOLS, ""))
+    marks = F.length(line) - F.length(without(line, PUNCTUATION[1:-1]))
     return (
-        F.when(line.rlike(LICENCE), "licence")
-        .when(line.rlike(NAVIGATION), "navigation")
-        .when(line.rlike(BOILERPLATE), "boilerplate")
-        .when(symbols > F.length(line) * F.lit(MAX_SYMBOLS), "symbols")
+        F.when(may["licence"] & line.rlike(LICENCE), "licence")
+        .when(may["navigation"] & line.rlike(NAVIGATION), "navigation")
+        .when(may["boilerplate"] & line.rlike(BOILERPLATE), "boilerplate")
+        .when((F.length(rest) > F.length(line) * F.lit(MAX_SYMBOLS)) & (symbols > F.length(line) * F.lit(MAX_SYMBOLS)), "symbols")
         .when((words >= SHORT_WORDS) & (marks > F.length(line) * F.lit(MAX_PUNCTUATION)), "punctuation")
         .when((words < SHORT_WORDS) & ~line.rlike(TERMINAL), "punctuation")
         .when((words >= LONG_WORDS) & (F.size(F.array_distinct(F.split(line, " ", -1))) < words * F.lit(MIN_DISTINCT)), "repetition")
     )
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: the optimizer copies a projection into each of its uses, a generator never."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def clean_lines(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
     """docs with failing lines cut out of text, without the documents that lose more than max_loss of their characters.
 
     A line is judged without blanks around it; blank lines stay where they are and count nothing. The rules, in order:
     licence notices, which are cut but count neither as kept nor as lost; a separate bar, bullet or angle mark
     (navigation); boilerplate phrases; over 15 % symbols; over 12 % punctuation in 6 words or more; fewer than 6 words
-    without an end mark; 20 words or more of which under a tenth are distinct. A line that repeats an earlier one isn't touched here. All expressions stay in the JVM and no
-    row moves.
+    without an end mark; 20 words or more of which under a tenth are distinct. A line that repeats an earlier one isn't
+    touched here. All expressions stay in the JVM and no row moves.
 
     Rows with null, empty or blank text have nothing to keep and are dropped. A null doc_id, repeated rows and other
     columns, whatever their names, come back as they are. An empty table stays empty. n_chars, where docs has it, becomes
     the new length.
     """
     blanks = " \t\r"
-    lines, judged, name = fresh(docs, "_lines"), fresh(docs, "_judged"), fresh(docs, "_kept")
-    size = lambda x: F.length(F.regexp_replace(x, r"[ \t\r\n]+", ""))
-    why = lambda x: F.when(F.length(F.trim(x, F.lit(blanks))) == 0, "").otherwise(F.coalesce(fails(F.trim(x, F.lit(blanks))), F.lit("")))
-    out = docs.withColumn(judged, F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("x"), why(x).alias("why"))))
+    may, judged, result = fresh(docs, "_may"), fresh(docs, "_judged"), fresh(docs, "_result")
+    low = F.lower("text")
+    flags = F.struct(*[reduce(lambda a, b: a | b, [low.contains(x) for x in xs]).alias(k) for k, xs in HINTS.items()])
+    flag = {k: F.col(may)[k] for k in HINTS}
+
+    def why(x):
+        bare = F.trim(x, F.lit(blanks))
+        return F.when(F.length(bare) == 0, "").otherwise(F.coalesce(fails(bare, flag), F.lit("")))
+
+    size = lambda x: F.length(without(x, " \t\r\n"))
+    out = once(docs.where("text IS NOT NULL"), may, flags)
+    out = once(out, judged, F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("x"), why(x).alias("why"))))
     joined = lambda keep: F.array_join(F.transform(F.filter(judged, lambda y: keep(y["why"])), lambda y: y["x"]), "\n")
-    out = out.withColumn(name, joined(lambda y: y == "")).withColumn(lines, size(joined(lambda y: ~y.isin("", "licence"))))
-    kept = size(F.col(name))
-    out = out.where((kept > 0) & (F.col(lines) <= (kept + F.col(lines)) * F.lit(max_loss)))
+    out = once(out, result, F.struct(joined(lambda y: y == "").alias("text"), size(joined(lambda y: ~y.isin("", "licence"))).alias("lost")))
+    kept, lost = size(F.col(result)["text"]), F.col(result)["lost"]
+    out = out.where((kept > 0) & (lost <= (kept + lost) * F.lit(max_loss)))
     cols = []
     for c in docs.columns:
         if c == "text":
-            cols.append(F.col(name).alias("text"))
+            cols.append(F.col(result)["text"].alias("text"))
         elif c == "n_chars":
-            cols.append(F.length(name).cast(docs.schema[c].dataType).alias(c))
+            cols.append(F.length(F.col(result)["text"]).cast(docs.schema[c].dataType).alias(c))
         else:
             cols.append(F.col(f"`{c}`"))
     return out.select(*cols)
