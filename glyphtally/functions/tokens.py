@@ -14,7 +14,7 @@ _NUMBER = r"n\.[º°]|n\.(?=\s*\d)"
 _DOTTED = r"\p{L}(?:\.\p{L})+\.?"
 _WORD = r"[\p{L}\p{N}_]+(?:[-.'’][\p{L}\p{N}_]+)*[²³ªº°]*"
 #: A portable stand-in for affix rules of a tokenizer library: titles, n.º, acronyms, numbers with marks inside, words with inner hyphens and dots, and every other character by itself.
-TOKEN = rf"(?U)({_TITLES}|{_NUMBER}|{_DOTTED}|\d+(?:[.,:;/]\d+)*[\p{{L}}²³ªº°]*|{_WORD}\.?[ªº°]|(?:{'|'.join(sorted((a for a in ABBREVIATIONS if len(a) > 1 and a.isalpha()), key=len, reverse=True))})\.(?=\s|$)|{_WORD}|[^\s])"
+TOKEN = rf"(?U)({_TITLES}|{_NUMBER}|{_DOTTED}|\d+(?:[.,:;/]\d+)*[\p{{L}}²³ªº°]*|{_WORD}\.?[ªº°]|(?i:{'|'.join(sorted((a for a in ABBREVIATIONS if len(a) > 1 and a.isalpha()), key=len, reverse=True))})\.(?=\s|$)|{_WORD}|[^\s])"
 _CLITIC = rf"(?iU)(?:-(?:{'|'.join(CLITICS)}))+$"
 
 
