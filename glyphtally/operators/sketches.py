@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions.hashing import cell, cells, city64, halves
 
 U32 = 2**32 - 1
@@ -479,6 +480,12 @@ SKETCHES = "part int, structure string, params string, n long, blob binary"
 ESTIMATES = "part int, structure string, kind string, key string, freq long, est double"
 
 
+def by_part(df: DataFrame) -> DataFrame:
+    """df with the rows of a part in one partition, parts dealt evenly. A fixed number of partitions: by their bytes alone too few tasks would share the work."""
+    n = max(Config().parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionById(n, F.pmod(F.col("part"), F.lit(n)).cast("int"))
+
+
 def build(stream: DataFrame, specs: dict[str, dict]) -> DataFrame:
     """(part, structure, params, n, blob): sketches of each part of ngrams.stream(), by insertion in order.
 
@@ -522,7 +529,7 @@ def build(stream: DataFrame, specs: dict[str, dict]) -> DataFrame:
             yield flush()
 
     place = ["part", "doc", "pos", "offset"]
-    rows = stream.select(*place, "key").repartition("part").sortWithinPartitions(*place).select("part", "key")
+    rows = by_part(stream.select(*place, "key")).sortWithinPartitions(*place).select("part", "key")
     return rows.mapInArrow(run, SKETCHES)
 
 
@@ -557,7 +564,7 @@ def estimate(counts: DataFrame, sketches: DataFrame) -> DataFrame:
                     m = z - a
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, np.int32)), pa.array([name] * m), kinds, keys, freq, pa.array(est)], ["part", "structure", "kind", "key", "freq", "est"])
 
-    return s.unionByName(k).repartition("part").sortWithinPartitions("part", "ord").mapInArrow(run, ESTIMATES)
+    return by_part(s.unionByName(k)).sortWithinPartitions("part", "ord").mapInArrow(run, ESTIMATES)
 
 
 def memory(names: list[str] | None = None, budget: int = BUDGET) -> list[dict]:
