@@ -19,22 +19,28 @@ PUNCTUATION = r"[.,;:!?…]"
 SYMBOLS = r"[^\p{L}\p{N}\p{M} \t.,;:!?'\"’”“«»()…-]"
 
 
-#: What the symbol rule passes without a regular expression, for speed alone: what is left of a line is then short.
-PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \t.,;:!?'\"()-"
+#: Runs that the symbol rule passes, of ASCII alone, for speed: what is left of a line is then short.
+PLAIN = r"[A-Za-z0-9 \t.,;:!?'\"()-]++"
 #: A text without any of these has no notice, boilerplate or navigation: a quick test before the expressions above.
 HINTS = {"licence": ("licensed under", "released under", "rights reserved", "copyright", "©"), "navigation": ("|", "»", "›", "•"), "boilerplate": ("cookie", "privacy policy", "terms ", "javascript", "lorem ipsum", "subscribe to", "sign up for", "click here", "read more")}
 
 
 def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+    """text without some characters. replace() works on bytes; translate() looks characters up one by one and is many times as slow."""
+    return reduce(lambda x, c: F.replace(x, F.lit(c), F.lit("")), chars, text)
 
 
-def fails(line: Column, may: dict[str, Column]) -> Column:
-    """Why a trimmed, non-empty line goes (null: it stays): licence, navigation, boilerplate, symbols, punctuation or repetition."""
+def measured(line: Column) -> Column:
+    """(line, words, rest, marks): numbers of words and punctuation marks, and what the symbol rule has yet to look at."""
     words = F.length(line) - F.length(without(line, " ")) + 1
-    rest = without(line, PLAIN)
+    marks = F.length(F.regexp_replace(line, "[^" + PUNCTUATION[1:-1] + "]++", ""))
+    return F.struct(line.alias("line"), words.alias("words"), F.regexp_replace(line, PLAIN, "").alias("rest"), marks.alias("marks"))
+
+
+def fails(m: Column, may: dict[str, Column]) -> Column:
+    """Why a trimmed, non-empty line, measured(), goes (null: it stays): licence, navigation, boilerplate, symbols, punctuation or repetition."""
+    line, words, rest, marks = m["line"], m["words"], m["rest"], m["marks"]
     symbols = F.length(rest) - F.length(F.regexp_replace(rest, SYMBOLS, ""))
-    marks = F.length(line) - F.length(without(line, PUNCTUATION[1:-1]))
     return (
         F.when(may["licence"] & line.rlike(LICENCE), "licence")
         .when(may["navigation"] & line.rlike(NAVIGATION), "navigation")
@@ -70,13 +76,14 @@ def clean_lines(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
     flags = F.struct(*[reduce(lambda a, b: a | b, [low.contains(x) for x in xs]).alias(k) for k, xs in HINTS.items()])
     flag = {k: F.col(may)[k] for k in HINTS}
 
-    def why(x):
-        bare = F.trim(x, F.lit(blanks))
-        return F.when(F.length(bare) == 0, "").otherwise(F.coalesce(fails(bare, flag), F.lit("")))
-
+    # each step is a pass of its own over the lines: a lambda's variable is computed once, an expression wherever it is used
+    bare = lambda x: F.when(x.contains("\t") | x.contains("\r"), F.trim(x, F.lit(blanks))).otherwise(F.trim(x))
+    why = lambda m: F.when(F.length(m["line"]) == 0, "").otherwise(F.coalesce(fails(m, flag), F.lit("")))
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("x"), bare(x).alias("bare")))
+    lines = F.transform(lines, lambda y: F.struct(y["x"].alias("x"), measured(y["bare"]).alias("m")))
     size = lambda x: F.length(without(x, " \t\r\n"))
     out = once(docs.where("text IS NOT NULL"), may, flags)
-    out = once(out, judged, F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("x"), why(x).alias("why"))))
+    out = once(out, judged, F.transform(lines, lambda y: F.struct(y["x"].alias("x"), why(y["m"]).alias("why"))))
     joined = lambda keep: F.array_join(F.transform(F.filter(judged, lambda y: keep(y["why"])), lambda y: y["x"]), "\n")
     out = once(out, result, F.struct(joined(lambda y: y == "").alias("text"), size(joined(lambda y: ~y.isin("", "licence"))).alias("lost")))
     kept, lost = size(F.col(result)["text"]), F.col(result)["lost"]

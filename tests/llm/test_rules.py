@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, sf, name):
 )
 def test_line_rules(spark, line, why):
     yes = {k: F.lit(True) for k in quality.HINTS}
-    assert spark.createDataFrame([(line.strip(),)], "x string").select(quality.fails(F.col("x"), yes)).first()[0] == why
+    assert spark.createDataFrame([(line.strip(),)], "x string").select(quality.measured(F.col("x")).alias("m")).select(quality.fails(F.col("m"), yes)).first()[0] == why
 
 
 def test_quality_rejects_and_keeps(spark):
@@ -89,7 +89,8 @@ def brute_lines(docs, min_docs=3, share=0.5):
 
 def test_templates_equal_brute_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    extra = [(10**6 + i, f"Own text of document {'abcdefgh'[i]} with several words of its kind in it here.\nUser {i}{i} logged in from host {i} at noon today.\nMore text that is only here {'xyzwvutq'[i]} and nowhere else at all, long enough to stay.") for i in range(6)]
+    own = lambda i, k: " ".join(f"{'abcdefgh'[i]}{w}{'qrstuv'[k]}" for w in "own words of this document alone and of no other one".split())
+    extra = [(10**6 + i, f"{own(i, 0)}\nUser {i}{i} logged in from host {i} at noon today.\n{own(i, 1)}\n{own(i, 2)}") for i in range(6)]
     d = spark.createDataFrame(docs + extra, "doc_id long, text string")
     text = dict(docs + extra)
     got = {(r.doc_id, text[r.doc_id], r.line_no) for r in templates.dropped_lines(d).collect()}
