@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import cut, fresh, small, table
 
 #: Weight of a source that isn't named; the total is that of the sources present.
 DEFAULT_WEIGHT, SEED, STEP, TERMS = 1.0, 29, 16.0, 96
@@ -64,9 +64,9 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
 
     count = F.aggregate(F.sequence(F.lit(1), F.col(rate)["draws"]), F.lit(0), lambda acc, j: acc + one(j))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    joined = docs.join(r, F.col("source").cast("string").eqNullSafe(F.col(src)), "inner")
+    joined = docs.join(small(r), F.col("source").cast("string").eqNullSafe(F.col(src)), "inner")
     counted = joined.withColumn(u, count).where(F.col(u) > 0)
-    copies = counted.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(u))).alias(copy))
+    copies = counted.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(u))).alias(copy))
     keyed = copies.withColumn(key, uniform(F.lit(f"{seed}-order"), ident, F.col(copy).cast("string"))).withColumn(pid, F.floor(F.col(key) * n).cast("int"))
     return keyed.repartitionById(n, F.col(pid)).sortWithinPartitions(key, copy).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(copy).alias(copy), F.col(key).alias(key))
 
