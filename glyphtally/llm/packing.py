@@ -148,7 +148,8 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, shard_items: int
                     out.append([as_vector(b, len(sizes)) for b in evolve(start, sizes, capacity, generations, rng)])
                 yield frame.assign(population=out)
 
-        spread = state.repartition("shard", "island")
+        # a fixed number of partitions: by its few bytes all of this would be coalesced to a task or two, and it is work for many
+        spread = state.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "island")
         state = spread.mapInPandas(step, STATE)
         if epoch < epochs - 1 and islands > 1:
             # the elite replaces the worst of the next island
