@@ -136,7 +136,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, width: float = W
 
         placed = own.select("h", "x").mapInArrow(keys, "bucket bigint, h bigint")
         shared = placed.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").select("bucket", "h")
-        found = shared.join(own.select("h", "x"), "h").select("bucket", "h", "x").repartition("bucket").sortWithinPartitions("bucket", "h").mapInArrow(search(cosine), "a bigint, b bigint")
+        found = shared.join(own.select("h", "x"), "h").select("bucket", "h", "x").repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", "h").mapInArrow(search(cosine), "a bigint, b bigint")
         edges = found if edges is None else edges.union(found)
     if edges is None:
         return vectors.sparkSession.createDataFrame([], "vec_id bigint, keep_id bigint")
