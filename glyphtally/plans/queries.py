@@ -191,9 +191,16 @@ def zipf_top20(spark, sf_dir):
 
 @query
 def ppmi_scores(spark, sf_dir):
+    """Of pairs seen at least twice, as the SQL has it; ppmi_scores_all has every pair."""
     return ppmi.exact(counted(spark, sf_dir), 2, 6).select("part", "key", "ppmi")
 
 
+@query
+def ppmi_scores_all(spark, sf_dir):
+    """Of every pair, those seen once in their part too."""
+    return ppmi.exact(counted(spark, sf_dir), 1, 6).select("part", "key", "ppmi")
+
+
 @query
 def ppmi_minfreq(spark, sf_dir):
     return ppmi.exact(counted(spark, sf_dir), MIN_FREQ, 6).select("part", "w1", "w2", "ppmi")
@@ -252,6 +259,20 @@ def ppmi_recall_exact_words(spark, sf_dir):
     return rounded(ppmi.compare_mean(ppmi.compare(truth, guess, RANKS)))
 
 
+@query
+def ppmi_recall_spearman_all(spark, sf_dir):
+    """Over every pair and all ranks of ppmi.KS."""
+    counts, est = linear(spark, sf_dir)
+    return rounded(ppmi.compare(ppmi.exact(counts, 1, 6), ppmi.estimated(counts, est, 1, digits=6)).drop("structure"))
+
+
+@query
+def ppmi_recall_exact_words_all(spark, sf_dir):
+    """As above with true counts of words, averaged over parts."""
+    counts, est = linear(spark, sf_dir)
+    return rounded(ppmi.compare_mean(ppmi.compare(ppmi.exact(counts, 1, 6), ppmi.estimated(counts, est, 1, True, 6))))
+
+
 @query
 def summary_stats(spark, sf_dir):
     """The summary of times, over values of events by type."""
