@@ -7,6 +7,7 @@ import math
 import random
 import re
 import string
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -25,9 +26,6 @@ EDGE = "\"'`,;.()[]{}<>!?#$%&*|"
 CUE = re.compile(r"(?i)(?:^|[^a-z])(?:[a-z0-9]*[_-])?(?:token|secret|passw(?:or)?d|passwd|pwd|passphrase|api[_-]?key|apikey|access[_-]?key|secret[_-]?key|private[_-]?key|auth|authorization|bearer|credentials?|client[_-]?secret)(?:[_-][a-z0-9]+)?$")
 DECOY = re.compile(r"(?i)^(?:commit|sha\d*|md5|hash|checksum|etag|digest|uuid|guid|id|version|revision|order|invoice|isbn|serial|fingerprint)$")
 PREFIX = re.compile(r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk[-_]|pk_live|rk_live|xox[abprs]-|eyJ|AIza|ya29\.|SG\.|npm_|-----BEGIN)")
-#: Tokens that a batch takes as plain without a look at them one by one; everything else, and every cue, is looked at.
-PLAIN = r"^[^\pL\pN=:_@/\\-]*\pL{1,15}[^\pL\pN=:_@/\\-]*$"
-HINT = r"(?i)(token|secret|pass|pwd|key|auth|bearer|cred|commit|sha|md5|hash|sum|etag|digest|id|version|rev|order|invoice|isbn|serial|print)"
 SHAPES = ("plain", "digits", "hex", "HEX", "mixed", "base64", "name", "marks", "assign", "numbers", "address", "uuid", "pem", "symbols")
 #: Categories of a token: shape, length, variety of characters, cue. The numbers of values of each.
 SIZES = (len(SHAPES), 8, 5, 8)
@@ -80,7 +78,7 @@ def categories(token: str) -> tuple[int, int, int, int]:
     core = token.strip(EDGE.replace("=", ""))
     shape = SHAPES.index("assign") if not any(c.isalnum() for c in token) and ("=" in token or ":" in token) else _shape.__wrapped__(value)
     n = len(value)
-    counts = [value.count(c) for c in set(value[:4096])] if n > 7 else []
+    counts = Counter(value).values() if n > 7 else ()
     bits = -sum(c / n * math.log2(c / n) for c in counts)
     variety = 0 if n < 8 else 1 if bits < 2.5 else 2 if bits < 3.2 else 3 if bits < 4 else 4
     cue = 0
@@ -136,6 +134,32 @@ def features(cats: np.ndarray, seq: np.ndarray, file: np.ndarray) -> np.ndarray:
     return np.stack(out, 1).astype(np.int32)
 
 
+def emissions(w: np.ndarray, table_: np.ndarray, codes: np.ndarray, row: np.ndarray, file: np.ndarray) -> np.ndarray:
+    """(tokens, states) scores of the tokens table_[codes] of texts row, whose files have the categories file.
+
+    What features() and scores() give, each distinct surrounding scored once: the categories of a token, of the two before
+    it and the one after, where those belong to its text, and the file's.
+    """
+    kinds, own = np.unique(table_, axis=0, return_inverse=True)
+    own, n = own.reshape(-1)[codes], len(codes)
+    code = file[row].astype(np.int64)
+    for k in (-2, -1, 0, 1):
+        at = np.arange(n) + k
+        idx = np.clip(at, 0, n - 1)
+        code = code * (len(kinds) + 1) + np.where((at == idx) & (row[idx] == row), own[idx] + 1, 0)
+    _, first, where = np.unique(code, return_index=True, return_inverse=True)
+    out = np.empty((len(first), w.shape[1]))
+    for a in range(0, len(first), 1 << 16):
+        part = first[a : a + (1 << 16)]
+        ctx = part[:, None] + np.array([-2, -1, 0, 1])
+        idx = np.clip(ctx, 0, n - 1)
+        # a window of four tokens for each, so that shifts stay within
+        each = np.arange(len(part))[:, None]
+        owner = np.where((ctx == idx) & (row[idx] == row[part][:, None]), each, -1 - each).reshape(-1)
+        out[a : a + len(part)] = scores(w, features(table_[codes[idx]].reshape(-1, 4), owner, np.repeat(file[row[part]], 4))[2::4])
+    return out[where.reshape(-1)]
+
+
 def file_category(interesting: int, tokens: int) -> int:
     """How much of a file isn't prose, in six steps."""
     share = interesting / max(1, tokens)
@@ -145,7 +169,7 @@ def file_category(interesting: int, tokens: int) -> int:
 def _secret(rng: random.Random) -> list[str]:
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
     alnum, b64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
-    kind = rng.randrange(12)
+    kind = rng.randrange(13)
     if kind == 0:
         return [pick("0123456789abcdef", rng.choice((32, 40, 64)))]
     if kind == 1:
@@ -168,11 +192,17 @@ def _secret(rng: random.Random) -> list[str]:
         return ["-----BEGIN", "RSA", "PRIVATE", "KEY-----", *(pick(b64, 64) for _ in range(rng.randint(2, 5))), pick(b64, 30) + "==", "-----END", "RSA", "PRIVATE", "KEY-----"]
     if kind == 10:
         return [base64.b64encode(rng.randbytes(rng.randint(15, 40))).decode()]
-    return [pick(alnum, rng.randint(8, 15))]
+    if kind == 11:
+        return [pick(alnum, rng.randint(8, 15))]
+    return [pick(string.ascii_letters, rng.randint(8, 15)) if rng.random() < 0.5 else "".join(_syllables(rng, rng.randint(3, 5)).capitalize() for _ in range(2))[:15]]
+
+
+def _syllables(rng: random.Random, n: int) -> str:
+    return "".join(rng.choice(("th", "an", "er", "de", "la", "ó", "ei", "st", "ti", "on", "ü", "re", "in", "é", "es")) for _ in range(n))
 
 
 def _word(rng: random.Random) -> str:
-    w = "".join(rng.choice(("th", "an", "er", "de", "la", "ó", "ei", "st", "ti", "on", "ü", "re", "in", "é", "es")) for _ in range(rng.randint(1, 5)))
+    w = _syllables(rng, rng.randint(1, 5))
     w = w.capitalize() if rng.random() < 0.1 else w.upper() if rng.random() < 0.03 else w
     return w + rng.choice(("", "", "", "", "", ".", ",", ";", "!", "?", "%%%", "###", "!!", "***"))
 
@@ -183,7 +213,7 @@ def _decoy(rng: random.Random) -> list[str]:
     return rng.choice([
         [rng.choice(("commit", "sha256", "md5:", "etag:", "checksum", "hash", "revision")), hexs], [digits(16)], ["+1", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"{digits(2)}.{digits(3)}.{digits(2)}.{digits(3)}"], [f"{_word(rng).strip('.,;!?%#*')}.{digits(2)}@mail{digits(1)}.example.com"],
         [f"https://example.com/{digits(6)}?page={digits(1)}"], ["uuid", f"{hexs[:8]}-{hexs[:4]}-{hexs[4:8]}-{hexs[8:12]}-{hexs[12:24]}"], ["the", rng.choice(("token", "password", "secret", "key")), rng.choice(("is", "of", "was", "for")), _word(rng)], [rng.choice(("password:", "token:", "auth:")), rng.choice(("required", "none", "optional", "see"))],
-        ["key", "=", _word(rng)], ["n", "=", digits(4)], [digits(3) + "."], ["order", digits(10)], [f"v{digits(1)}.{digits(1)}.{digits(2)}"], ["©", digits(4)], ["|", _word(rng), "|", digits(5), "|"], [f"snake_case_{_word(rng).strip('.,;!?%#*')}"], ["serial", "AB" + digits(10)],
+        ["key", "=", _word(rng)], ["n", "=", digits(4)], [digits(3) + "."], ["order", digits(10)], [f"v{digits(1)}.{digits(1)}.{digits(2)}"], ["©", digits(4)], ["|", _word(rng), "|", digits(5), "|"], [f"snake_case_{_word(rng).strip('.,;!?%#*')}"], ["serial", "AB" + digits(10)], [f'"{_syllables(rng, rng.randint(2, 7))}"'], ["the", rng.choice(("token", "password", "secret", "key")), f'"{_syllables(rng, rng.randint(2, 3))}"', "is"],
     ])
 
 
@@ -203,6 +233,8 @@ def sequences(n: int, seed: int):
             noise = rng.choice(("", "", "", "", "%%%", "###", "&&&", "!!", "***", "$$$", ",", "."))
             if rng.random() < 0.55:
                 secret, name, quote = _secret(rng), rng.choice(names), rng.choice(("", '"', '"', "'", "`"))
+                if secret[0].isalpha():  # nothing but quotes tells letters from a word
+                    quote = quote or '"'
                 form = rng.randrange(6)
                 strong = bool(PREFIX.match(secret[0]))
                 if len(secret) > 1:
@@ -271,35 +303,14 @@ def tag(texts: pa.Array, w: np.ndarray, tr: np.ndarray):
         return []
     coded = flat.dictionary_encode()
     words, codes = coded.dictionary, coded.indices.to_numpy()
-    look = pc.or_(pc.invert(pc.match_substring_regex(words, PLAIN)), pc.match_substring_regex(words, HINT)).to_numpy(zero_copy_only=False)
-    table_ = np.tile(np.array(PLAIN_CATEGORIES), (len(words), 1))
-    which = np.flatnonzero(look)
-    for k, s in zip(which, words.take(pa.array(which)).to_pylist()):
-        table_[k] = categories(s)
+    table_ = np.array([categories(x) for x in words.to_pylist()])
     plain = (table_ == np.array(PLAIN_CATEGORIES)).all(1)
     odd = ~plain[codes]
     size = np.bincount(row, minlength=len(texts))
     share = np.bincount(row, odd, minlength=len(texts)) / np.maximum(1, size)
     file = np.searchsorted([0.01, 0.05, 0.15, 0.35, 0.7], share, "right")
     starts = np.flatnonzero(np.r_[True, np.diff(row) > 0])
-    # the score of a plain token among plain ones depends on the file alone; only the others are computed one by one
-    near = odd.copy()
-    for k in (1, 2):
-        near[k:] |= odd[:-k]
-    near[:-1] |= odd[1:]
-    edges = np.r_[starts, starts[1:] - 1, starts[starts + 1 < len(row)] + 1, len(row) - 1]
-    near[edges] = True
-    calm = np.tile(np.array(PLAIN_CATEGORIES), (5, 1))
-    base = np.stack([scores(w, features(calm, np.zeros(5, int), np.full(5, f)))[2] for f in range(FILE)])
-    e = base[file[row]].astype(np.float64)
-    todo = np.flatnonzero(near)
-    for a in range(0, len(todo), 1 << 16):
-        part = todo[a : a + (1 << 16)]
-        ctx = np.clip(part[:, None] + np.array([-2, -1, 0, 1]), 0, len(row) - 1)
-        # a window of four tokens and a gap for each, so that shifts stay within
-        cats = table_[codes[ctx]].reshape(-1, 4)
-        owner = np.where((ctx == part[:, None] + np.array([-2, -1, 0, 1])) & (row[ctx] == row[part][:, None]), np.arange(len(part))[:, None], -1 - np.arange(len(part))[:, None]).reshape(-1)
-        e[part] = scores(w, features(cats, owner, np.repeat(file[row[part]], 4))[2::4])
+    e = emissions(w, table_, codes, row, file)
     labels = decode(e, tr.astype(np.float64), starts)
     out = []
     at = np.flatnonzero(labels != OUT)

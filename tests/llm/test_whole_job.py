@@ -1,6 +1,8 @@
 """What the operators once left out."""
 
-from glyphtally.llm import templates
+import pyarrow as pa
+
+from glyphtally.llm import secrets, templates
 
 LINE = "All rights of this fine site are reserved by us."
 WORDS = "own words of this document alone and of no other one".split()
@@ -17,3 +19,16 @@ def test_boilerplate_goes_in_short_documents_and_one_copy_stays(spark):
     d = spark.createDataFrame([*long, (7, f"{LINE}\nonly here"), (20, copy), (None, copy + "\n" + LINE), (21, copy), (22, copy)], "doc_id long, text string")
     out = {r.doc_id: r.text for r in templates.drop_recurring_lines(d).collect()}
     assert out == {i: f"{own(i, 0)}\n{own(i, 1)}" for i in range(5)} | {7: "only here", None: copy, 20: "", 21: "", 22: ""}
+
+
+def test_secrets_of_letters_alone():
+    w, tr = secrets.model()
+    secret = ['password: "SunshineBeach"', 'api_key = "HkqTzLwPvXoB"', 'db_password="SunshineBeach"']
+    prose = ["password: required", "the password is required here", 'the "responsibility" of it']
+    got = secrets.tag(pa.array(secret + prose), w, tr)
+    assert [(r, v) for r, _, _, v in got] == [(0, "SunshineBeach"), (1, "HkqTzLwPvXoB"), (2, "SunshineBeach")]
+
+
+def test_variety_counts_the_whole_value():
+    # 3.3 bits: half of it is one letter, the other half 25 letters alike
+    assert secrets.categories("a" * 5000 + "bcdefghijklmnopqrstuvwxyz" * 200)[2] == 3
