@@ -15,7 +15,7 @@ from .common import fresh, table
 
 #: Words that announce an identifier, which up to CUE_GAP other characters may separate from it.
 CUES = ("iban", "account", "acct", "konto", "cuenta", "compte", "passport", "ssn", "tax id", "customer id", "member id")
-CUE_GAP = 12
+CUE_GAP = 32
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())]))
 _LOCAL = set("._%+-")
 _RUN = set("0123456789 ()+-.")
@@ -25,27 +25,33 @@ _CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}(
 _IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)")
 _SSN = re.compile(r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_ACCOUNT = re.compile(r"[A-Za-z .:#=_-]{0,%d}?(?<![A-Za-z0-9])([A-Z]{0,3}\d[\d-]{4,18}\d)(?![\d-])" % CUE_GAP)
+#: Letters and marks on the cue's line, then a number: digits with hyphens, or groups of two to four digits with single blanks.
+_ACCOUNT = re.compile(r"(?:[^\W\d]|[ \t.:#=()\[\]{}\"'/*-]){0,%d}?(?<![^\W_])([A-Z]{0,3}(?:\d[\d-]{4,18}\d|\d{2,4}(?: \d{2,4}){1,7}))(?![\d-])" % CUE_GAP)
 
 
 @cache
 def anchors():
-    """The automaton: at-sign, schemes, identifier cues in the usual cases, and any two digits."""
+    """The automaton: at-sign, schemes, identifier cues, and any two digits; for folded() text."""
     a = ahocorasick.Automaton()
     a.add_word("@", (0, 1))
-    for s in ("://", "www.", "WWW.", "Www."):
+    for s in ("://", "www."):
         a.add_word(s, (1, len(s)))
     for i in range(100):
         a.add_word(f"{i:02d}", (2, 2))
     for i in range(10):
         a.add_word(f".{i}.", (2, 2))
     for c in CUES:
-        for x in {c, c.upper(), c.capitalize()}:
-            a.add_word(x, (3, len(x)))
+        a.add_word(c, (3, len(c)))
     a.make_automaton()
     return a
 
 
+def folded(t: str) -> str:
+    """t in lower case, each character where it was."""
+    low = t.lower()
+    return low if len(low) == len(t) else "".join(x if len(x := c.lower()) == 1 else c for c in t)
+
+
 def luhn(digits: str) -> bool:
     twice = "0246813579"
     return sum(int(c) if k % 2 == 0 else int(twice[int(c)]) for k, c in enumerate(reversed(digits))) % 10 == 0
@@ -116,7 +122,7 @@ def numbers_in(t: str, i: int, j: int):
 def scan(t: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of what text holds, in order, without overlaps: of two, the earlier, then the longer, then the one that isn't just a number after a cue."""
     found, done, run = [], 0, 0
-    for at, (kind, size) in anchors().iter(t):
+    for at, (kind, size) in anchors().iter(folded(t)):
         p = at - size + 1
         if kind == 0:
             if hit := email_at(t, p):
@@ -126,7 +132,7 @@ def scan(t: str) -> list[tuple[str, int, int]]:
                 found.append(hit)
                 done = hit[2]
         elif kind == 3:
-            if (m := _ACCOUNT.match(t, at + 1)) and not t[max(0, p - 1) : p].isalnum() and not t[at + 1 : at + 2].isalnum():
+            if (m := _ACCOUNT.match(t, at + 1)) and not t[max(0, p - 1) : p].isalnum() and not t[at + 1 : at + 2].isalnum() and (" " not in m.group(1) or sum(c.isdigit() for c in m.group(1)) > 5):
                 found.append(("account", m.start(1), m.end(1)))
         elif p >= run:  # once for each run of digits
             i, j, n = p, at + 1, len(t)

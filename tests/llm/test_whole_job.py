@@ -1,8 +1,9 @@
 """What the operators once left out."""
 
 import pyarrow as pa
+import pytest
 
-from glyphtally.llm import secrets, templates
+from glyphtally.llm import pii, secrets, templates
 
 LINE = "All rights of this fine site are reserved by us."
 WORDS = "own words of this document alone and of no other one".split()
@@ -21,6 +22,15 @@ def test_boilerplate_goes_in_short_documents_and_one_copy_stays(spark):
     assert out == {i: f"{own(i, 0)}\n{own(i, 1)}" for i in range(5)} | {7: "only here", None: copy, 20: "", 21: "", 22: ""}
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [("Customer ID: 48291034", "48291034"), ("member Id 48291034", "48291034"), ("Tax ID: 12-3456789", "12-3456789"), ("Account number is currently: 12345678", "12345678"), ("account (checking): 12345678", "12345678"), ("account 1234 5678 9012 and", "1234 5678 9012"), ("İ Cuenta número: 12345678 2024", "12345678")],
+)
+def test_accounts_however_written(text, want):
+    assert [(k, text[i:j]) for k, i, j in pii.scan(text)] == [("account", want)]
+    assert not pii.scan("account 12 34") and not pii.scan("accounted 12345678")
+
+
 def test_secrets_of_letters_alone():
     w, tr = secrets.model()
     secret = ['password: "SunshineBeach"', 'api_key = "HkqTzLwPvXoB"', 'db_password="SunshineBeach"']
