@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Largest side that operators here broadcast by hint, in rows of a few longs; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Largest side that operators here broadcast by hint, in bytes of its rows; beyond it the join shuffles.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +43,40 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows. df must be cheap to count (checkpointed)."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).offset(rows).take(1)) == 0 else df
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and where that is: for what is read more than once, each time some columns of it."""
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/glyphtally-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that isn't needed any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of the rows of df, which must be cheap to read (checkpointed): 8 for each number, strings and arrays at their length."""
+
+    def width(c: str, t: T.DataType) -> Column | None:
+        c = f"`{c}`"
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        if isinstance(t, T.ArrayType):
+            return F.greatest(F.size(c), F.lit(0)) * 8 + 16
+        return None
+
+    known = [width(f.name, f.dataType) for f in df.schema]
+    each = reduce(lambda a, b: a + b, [w for w in known if w is not None], F.lit(8 + 8 * known.count(None)))
+    return int(df.agg(F.coalesce(F.sum(each.cast("long")), F.lit(0))).first()[0])
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its rows take at most so many bytes; see size_of()."""
+    return F.broadcast(df) if size_of(df) <= most else df
 
 
 def text_key(text: Column) -> Column:

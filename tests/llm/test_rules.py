@@ -49,17 +49,17 @@ def brute_lines(docs, min_docs=3, share=0.5):
         for n, raw in enumerate(t.split("\n")):
             parts = [p for p in raw.replace("\t", " ").replace("\r", " ").split(" ") if p]
             parts = ["<*>" if any("0" <= c <= "9" for c in p) else p for p in parts]
-            if len(parts) >= 4:
+            if parts:
                 leaf = (len(parts), tuple(parts[:3]))
                 entries[i, t, n] = (leaf, " ".join(parts), len(raw))
-                hot[leaf].add((i, t))
+                hot[leaf].add(t)
     by_leaf = defaultdict(set)
     for leaf, line, _ in entries.values():
         if len(hot[leaf]) >= min_docs:
             by_leaf[leaf].add(line)
     template = {}
     for leaf, lines in by_leaf.items():
-        found = []
+        found, at = [], {}
         for line in sorted(lines, key=lambda x: x.encode()):
             words = line.split(" ")
             scores = [sum(a == b != "<*>" for a, b in zip(words, t)) for t in found]
@@ -70,38 +70,77 @@ def brute_lines(docs, min_docs=3, share=0.5):
             else:
                 found.append(words)
                 k = len(found) - 1
-            template[leaf, line] = k
-        for key, k in list(template.items()):
-            if key[0] == leaf:
-                template[key] = (leaf, " ".join(found[k])) if isinstance(k, int) else k
+            at[line] = k
+        template |= {(leaf, line): (leaf, " ".join(found[k])) for line, k in at.items()}
     seen, lines = defaultdict(set), []
     for (i, t, n), (leaf, line, size) in entries.items():
         x = template.get((leaf, line))
-        if x and sum(w != "<*>" for w in x[1].split(" ")) >= 4:
-            seen[x].add((i, t))
+        if x and sum(w != "<*>" for w in x[1].split(" ")) >= min(4, leaf[0]):
+            seen[x].add(t)
             lines.append((i, t, n, x, size))
     lines = [x for x in lines if len(seen[x[3]]) >= min_docs]
     cut = Counter()
-    for i, t, _, _, size in lines:
+    for i, t, n, _, size in set(lines):
         cut[i, t] += size
-    return {(i, t, n) for i, t, n, _, _ in lines if cut[i, t] <= len(t) * share}
+    copies, most = defaultdict(dict), defaultdict(int)
+    for i, t, _, (_, name), _ in lines:  # a template goes by its text from here on
+        most[name] = max(most[name], *(len(seen[x]) for x in seen if x[1] == name))
+        if cut[i, t] > len(t) * share:
+            copies[name][t] = min(copies[name].get(t, (True, 10**9)), (i is not None, i or 0))
+    stays = {(name, min(texts, key=lambda t: (texts[t], t))) for name, texts in copies.items() if len(texts) > most[name] * share}
+    return {(i, t, n) for i, t, n, (_, name), _ in lines if (name, t) not in stays}
+
+
+def found_lines(docs, texts, **more):
+    return {(r.doc_id, texts[r.doc_id], r.line_no) for r in templates.gone_lines(docs, **more).collect()}
 
 
 def test_templates_equal_brute_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     own = lambda i, k: " ".join(f"{'abcdefgh'[i]}{w}{'qrstuv'[k]}" for w in "own words of this document alone and of no other one".split())
-    extra = [(10**6 + i, f"{own(i, 0)}\nUser {i}{i} logged in from host {i} at noon today.\n{own(i, 1)}\n{own(i, 2)}") for i in range(6)]
-    d = spark.createDataFrame(docs + extra, "doc_id long, text string")
-    text = dict(docs + extra)
-    got = {(r.doc_id, text[r.doc_id], r.line_no) for r in templates.dropped_lines(d).collect()}
-    assert got == brute_lines(docs + extra) and sum(i >= 10**6 for i, _, _ in got) == 6
+    extra = [(10**6 + i, f"{own(i, 0)}\nUser {i}{i} logged in from host {i} at noon today.\nRead more.\n{own(i, 1)}\nPart {i}\n{own(i, 2)}") for i in range(6)]
+    # one text thrice, which isn't recurring lines, and one changed a little each time, which the first keeps
+    same = [(2 * 10**6 + i, "\n".join(own(7, k) for k in range(4))) for i in range(3)]
+    near = [(3 * 10**6 + i, "\n".join([own(6, k) for k in range(4)] + ["changed " + own(i, 4)])) for i in range(4)]
+    every = docs + extra + same + near
+    d = spark.createDataFrame(every, "doc_id long, text string")
+    got = found_lines(d, dict(every))
+    assert got == brute_lines(every)
+    assert Counter(i // 10**6 for i, _, _ in got if i >= 10**6) == {1: 12, 3: 12} and not any(i == 3 * 10**6 for i, _, _ in got)
+
+
+def test_templates_crowded_leaf(spark):
+    """A third of all lines in one leaf: it branches, no task holds more than a leaf, and equal lines still meet."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    line = lambda i: "it was the " + " ".join(f"{words[i // 10**k % 10]}{'xyzw'[k % 4]}" for k in range(4)) + " end of it all"
+    docs = [(i, line(i % 300) + "\n" + line((i + 1) % 300) + f"\nother {words[i // 300]} words {words[i % 7]} of {words[i % 9]} document") for i in range(1200)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = templates.lines_of(d).withColumn("h", F.xxhash64("line")).select("n", "p", "h", "line").distinct()
+    leaves = templates.bounded(rows, 50)
+    assert leaves.count() == rows.count() and leaves.groupBy("n", "leaf").count().agg(F.max("count")).first()[0] <= 50
+    gone = templates.gone_lines(d, leaf_lines=50, copy_share=1.0).collect()
+    assert sum(r.line_no < 2 for r in gone) == 2400 and all(r.n_docs >= 3 for r in gone)
+
+
+def test_parse_leaf_ties_and_long_lines():
+    assert templates.parse_leaf(["a b c d e f", "a b c d x f"]) == ["a b c d <*> f"] * 2
+    # between two templates that are as like, the first found wins
+    assert templates.parse_leaf(["a b c d e q r", "a b c z y x w", "a b c d e x w"])[2] == "a b c d e <*> <*>"
+    long = " ".join(f"w{'abcdefghij'[i % 10]}" for i in range(50_000))
+    assert templates.parse_leaf([long, long[:-1] + "z"])[0].endswith("<*>") and templates.parse_leaf([]) == []
 
 
 def test_templates_messy(spark):
     d = messy.table(spark)
     out = templates.drop_recurring_lines(d)
-    assert out.columns == d.columns and out.count() == d.count() and messy.ids(out) == messy.ids(d)
+    assert out.columns == d.columns and messy.ids(out) == messy.ids(d)
+    assert {r.text for r in out.where("doc_id IN (1, 2)").collect()} == {messy.TEXT} and out.where("text IS NULL").count() == 2
     assert templates.drop_recurring_lines(messy.empty(spark)).count() == 0
+    lines = "Terms of this site hold for all who come here.\n"
+    long = "word " * 60_000
+    some = [(i, lines + f"own text {'abc'[i]} of page" + long * (i == 0), "en", "a", 7, *["k", i, None, 3, "h", "s", None]) for i in range(3)]
+    out = {r.doc_id: (r.text, r.n_chars) for r in templates.drop_recurring_lines(messy.table(spark, some + [(None, *some[0][1:])])).collect()}
+    assert {i: (t[:15], n == len(t)) for i, (t, n) in out.items()} == {0: ("own text a of p", True), 1: ("own text b of p", True), 2: ("own text c of p", True), None: ("own text a of p", True)}
 
 
 def test_mixing_shares(spark):
