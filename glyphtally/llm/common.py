@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,7 +71,7 @@ def size_of(df: DataFrame) -> int:
         return None
 
     known = [width(f.name, f.dataType) for f in df.schema]
-    each = reduce(lambda a, b: a + b, [w for w in known if w is not None], F.lit(8 + 8 * known.count(None)))
+    each = reduce(lambda a, b: a + b, [w for w in known if w is not None], F.lit(8 + 8 * sum(w is None for w in known)))
     return int(df.agg(F.coalesce(F.sum(each.cast("long")), F.lit(0))).first()[0])
 
 
@@ -79,6 +80,54 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size_of(df) <= most else df
 
 
+def by_bucket(parts, most: int | None):
+    """(crowded, columns) of numpy columns that come in parts, sorted by the first of them, the bucket.
+
+    Crowded ones are rows of buckets of more than most rows, as they come; all others hold whole buckets. No more than a
+    part and most rows are held.
+    """
+    held, crowded = None, None
+    for cols in parts:
+        if crowded is not None:
+            k = int(np.searchsorted(cols[0], crowded, "right"))
+            if k:
+                yield True, tuple(c[:k] for c in cols)
+            if k == len(cols[0]):
+                continue
+            crowded, cols = None, tuple(c[k:] for c in cols)
+        if held is not None:
+            cols = tuple(np.concatenate(x) for x in zip(held, cols))
+        if not len(cols[0]):
+            continue
+        last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        whole, held = tuple(c[:last] for c in cols), tuple(c[last:] for c in cols)
+        if most is not None:
+            if len(held[0]) > most:
+                crowded = held[0][0]
+                yield True, held
+                held = None
+            _, at, sizes = np.unique(whole[0], return_inverse=True, return_counts=True)
+            if (sizes > most).any():
+                over = (sizes > most)[at]
+                yield True, tuple(c[over] for c in whole)
+                whole = tuple(c[~over] for c in whole)
+        if len(whole[0]):
+            yield False, whole
+    if held is not None and len(held[0]):
+        yield False, held
+
+
+def blocks(rows: DataFrame, most: int) -> DataFrame:
+    """rows (bucket, id) with task: buckets of more than most rows are cut in blocks, and each pair of blocks is a task of its own.
+
+    So a task holds about twice most rows, and any two rows of a bucket meet in one. A bucket of q blocks is sent q times.
+    """
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("q"))
+    r = F.pmod(F.xxhash64("id"), F.col("q")).cast("int")
+    pair = lambda s: F.concat_ws("-", F.least(r, s), F.greatest(r, s))
+    return rows.join(sizes, "bucket").select("id", F.explode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda s: F.xxhash64("bucket", pair(s)))).alias("task"))
+
+
 def text_key(text: Column) -> Column:
     """64 bits of the text, null only for null: tells rows apart that repeat an id."""
     return F.when(text.isNotNull(), F.xxhash64(text))
@@ -104,6 +153,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             stars = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return stars.union(e.select(F.col("b"), F.col("b"))).union(loops.select("node", F.col("node"))).groupBy("node").agg(F.min("root").alias("root"))
+            return cut(stars.union(e.select(F.col("b"), F.col("b"))).union(loops.select("node", F.col("node"))).groupBy("node").agg(F.min("root").alias("root")))
         before = now
     raise RuntimeError(f"components still change after {max_rounds} rounds")
