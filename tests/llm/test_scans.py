@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from glyphtally.llm import crf, pii, secrets, urls
 
@@ -137,5 +138,35 @@ def test_urls_normal(spark, a, b):
     assert r[0] == r[1]
 
 
+@pytest.mark.parametrize(
+    "link, want",
+    [("g", "http://a/b/c/g"), ("./g", "http://a/b/c/g"), ("g/", "http://a/b/c/g/"), ("/g", "http://a/g"), ("//g", "http://g"), ("?y", "http://a/b/c/d;p?y"), ("g?y", "http://a/b/c/g?y"), ("#s", "http://a/b/c/d;p?q"), ("g#s", "http://a/b/c/g"), (";x", "http://a/b/c/;x"), ("", "http://a/b/c/d;p?q"), (".", "http://a/b/c/"), ("./", "http://a/b/c/"), ("..", "http://a/b/"), ("../", "http://a/b/"), ("../g", "http://a/b/g"), ("../..", "http://a/"), ("../../g", "http://a/g"), ("../../../g", "http://a/g"), ("/./g", "http://a/g"), ("/../g", "http://a/g"), ("g.", "http://a/b/c/g."), ("..g", "http://a/b/c/..g"), ("./../g", "http://a/b/g"), ("g/./h", "http://a/b/c/g/h"), ("g/../h", "http://a/b/c/h"), ("mailto:x@y.z", "mailto:x@y.z"), ("https://e.f/a/../b", "https://e.f/b")],
+)
+def test_urls_resolve(spark, link, want):
+    """The examples of RFC 3986, 5.4, without fragments."""
+    assert spark.createDataFrame([(link, "http://a/b/c/d;p?q")], "l string, b string").select(urls.resolve(F.col("l"), F.col("b"))).first()[0] == want
+
+
+def test_urls_implied_chains(spark, sf):
+    art = lambda x: f"<body><article>{x}</article></body>"
+    p = pages(spark, [(1, "http://www.a.com/x.html", art("one"), None, 1), (2, "https://a.com/x", art("two"), None, 1), (3, "https://m.a.com/x/?ref=x", art("three"), None, 1), (4, "https://b.com/y", art("three"), None, 1), (5, "https://m.b.com/y.html", None, None, 1), (6, "https://c.com/", art(""), None, 1), (7, None, art("one"), None, 1), (8, "https://bad.org/", art("five"), None, 1), (9, "https://zz.com/q", art("five"), None, 1)])
+    out = {r.page_id: (r.root, r.decision) for r in urls.decide(p, urls.implied(p), ("bad.org",), (), (r"zz",)).collect()}
+    assert {i: root for i, (root, _) in out.items()} == {1: "a.com/x", 2: "a.com/x", 3: "a.com/x", 4: "a.com/x", 5: "a.com/x", 6: "c.com", 7: None, 8: "bad.org", 9: "bad.org"}
+    assert {i for i, (_, d) in out.items() if d == "block"} == {8} and out[9][1] == "allow"
+    every = urls.op4_url_filters(spark, sf).collect()
+    assert sum(r.root != r.node for r in every) > 5 and {r.decision for r in every} == {"allow", "block", "keep"}
+
+
+def test_urls_hot_article(spark):
+    """A third of all pages have one article: one component, and no page is lost."""
+    p = pages(spark, [(i, f"https://h{i % 50}.com/{i}", f"<article>{'same' if i % 3 == 0 else i}</article>", None, 1) for i in range(900)])
+    out = urls.decide(p, urls.implied(p), (), (), ()).collect()
+    roots = {}
+    for r in out:
+        roots.setdefault(r.root, set()).add(r.page_id)
+    assert len(out) == 900 and sorted(map(len, roots.values())) == [1] * 600 + [300]
+
+
 def test_urls_empty(spark):
-    assert urls.decide(pages(spark, [])).count() == 0
+    none = pages(spark, [])
+    assert urls.decide(none, urls.implied(none)).count() == 0
