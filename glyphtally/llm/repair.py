@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Vocabulary of the tokenizer, as base64 ranks; its pattern; tokens of a shard; least occurrences of a pair that gets a rule; bytes of text that are tokenized at a time.
-VOCABULARY, SHARD_TOKENS, MIN_COUNT, BATCH_BYTES = "/opt/tokenizers/byte_bpe_50k.tiktoken", 1 << 20, 6, 1 << 23
+#: A rule is three numbers (two symbols and a length) and saves one for each use, so a pair that occurs three times or less doesn't pay.
+VOCABULARY, SHARD_TOKENS, MIN_COUNT, BATCH_BYTES = "/opt/tokenizers/byte_bpe_50k.tiktoken", 1 << 20, 4, 1 << 23
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARDS = "shard string, n_docs int, n_tokens bigint, vocabulary int, doc_ids array<bigint>, starts array<bigint>, symbols binary, rules binary, lengths binary"
 
@@ -45,8 +46,8 @@ class Words:
         self.every = np.concatenate([self.every, np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))])
         return at
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each text) of texts without nulls."""
+    def coded(self, texts: pa.Array):
+        """(codes, first, n_words): words as numbers of what is kept, where each text's begin, how many they are."""
         if len(self.known) > self.most:
             self.clear()
         whole = pc.or_(pc.match_substring(texts, "  "), pc.less(pc.binary_length(texts), 64)).to_numpy(zero_copy_only=False)
@@ -55,7 +56,8 @@ class Words:
         n_words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         first = np.cumsum(n_words) - n_words
         coded = flat.dictionary_encode()
-        codes, one, known = coded.indices.to_numpy().astype(np.int64), self.enc.encode_ordinary, self.known
+        # Arrow's strings are sound, so what the wrapper of encode_ordinary() checks needs no check
+        codes, one, known = coded.indices.to_numpy().astype(np.int64), self.enc._core_bpe.encode_ordinary, self.known
         words = coded.dictionary.to_pylist()
         number = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
         new = np.flatnonzero(number < 0).tolist()
@@ -63,14 +65,32 @@ class Words:
         number[new] = np.arange(at, at + len(new))
         known.update((words[k], at + j) for j, k in enumerate(new))
         codes = number[codes]
-        # the first word of a text has no blank before it, and a text that isn't split is its own first word
-        kept, starts = len(self.size), first.tolist()
-        at = self.add([one(texts[k].as_py() if whole[k] else flat[i].as_py()) for k, i in enumerate(starts)])
+        # the first word of a text has no blank before it, and a text that isn't split is its own first word; these aren't kept
+        at = self.add([one(texts[k].as_py() if whole[k] else flat[i].as_py()) for k, i in enumerate(first.tolist())])
         codes[first] = np.arange(at, at + len(first))
+        return codes, first, n_words
+
+    def forget(self, n: int):
+        """Drop the n words that were added last."""
+        kept = len(self.size) - n
+        self.size, self.every = self.size[:kept], self.every[: int(self.size[:kept].sum())]
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text, of texts without nulls."""
+        if not len(texts):
+            return np.zeros(0, np.int64)
+        codes, first, _ = self.coded(texts)
+        out = np.add.reduceat(self.size[codes], first)
+        self.forget(len(first))
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) of texts without nulls."""
+        codes, first, n_words = self.coded(texts)
         size, every = self.size, self.every
         lens, starts = size[codes], (np.cumsum(size) - size)[codes]
         ends = np.cumsum(lens)
-        self.size, self.every = size[:kept], every[: int(size[:kept].sum())]
+        self.forget(len(first))
         ids = every[np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
         return ids, np.diff(np.r_[0, ends[first + n_words - 1]]) if len(first) else np.zeros(0, np.int64)
 
