@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphtally.llm.common import table, use_checkpoints
+from glyphtally.llm.common import discard, table, use_checkpoints
 from glyphtally.llm.mixing import mixed
 from glyphtally.llm.packing import best_fit_packing
 from glyphtally.llm.quality import clean_lines
@@ -41,11 +41,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared checkpoint folder and read again as the next one's input."""
+    """The stages over documents, each written to the shared checkpoint folder and read again as the next one's input.
+
+    A stage's folder is removed once the next one is written; the last stays, for the result reads it.
+    """
     use_checkpoints(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
