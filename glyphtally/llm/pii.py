@@ -16,6 +16,8 @@ from .common import fresh, table
 #: Words that announce an identifier, which up to CUE_GAP other characters may separate from it.
 CUES = ("iban", "account", "acct", "konto", "cuenta", "compte", "passport", "ssn", "tax id", "customer id", "member id")
 CUE_GAP = 32
+#: Parameters of a web address that say who someone is; other addresses are nobody's data.
+PERSONAL = re.compile(r"(?i)[?&;](?:user(?:name|id)?|uid|login|e?mail|phone|tel|mobile|(?:first|last|full|sur)?name|ssn|iban|account|customer|member|token|session(?:id)?|auth|passw(?:or)?d|pwd)(?:_?id)?=[^&#]")
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())]))
 _LOCAL = set("._%+-")
 _RUN = set("0123456789 ()+-.")
@@ -119,7 +121,18 @@ def numbers_in(t: str, i: int, j: int):
                 yield kind, m.start(), m.end()
 
 
-def scan(t: str) -> list[tuple[str, int, int]]:
+def personal(url: str) -> bool:
+    """Whether a web address names a user before its host, holds a mail address, or has a PERSONAL parameter."""
+    host = re.split(r"[/?#]", url.partition("://")[2] or url, maxsplit=1)[0]
+    return "@" in host or PERSONAL.search(url) is not None or any(email_at(url, m.start()) for m in re.finditer("@", url))
+
+
+def scan(t: str, urls: bool = False) -> list[tuple[str, int, int]]:
+    """every_span() without web addresses that aren't personal(), or with all if urls; numbers within them aren't looked at either way."""
+    return [(k, i, j) for k, i, j in every_span(t) if k != "url" or urls or personal(t[i:j])]
+
+
+def every_span(t: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of what text holds, in order, without overlaps: of two, the earlier, then the longer, then the one that isn't just a number after a cue."""
     found, done, run = [], 0, 0
     for at, (kind, size) in anchors().iter(folded(t)):
@@ -162,13 +175,14 @@ def spans(texts):
     return texts.map(lambda t: None if t is None else [{"kind": k, "start": i, "end": j, "value": t[i:j]} for k, i, j in scan(t)])
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, urls: bool = False) -> DataFrame:
     """(doc_id, kind, start, end, value) of each piece of personal data; start and end count characters from 0.
 
     An Aho-Corasick pass over the whole text finds at-signs, schemes, identifier cues and digit pairs; from each anchor a
     parser expands to the boundaries and validates: email (labels, name of the domain), url, ip (four bytes), card
     (Luhn), iban (mod 97), ssn, phone, and account (a number of 6 digits or more after a cue). Of overlapping hits the
-    earlier, then the longer one counts. No row moves; the texts pass Arrow once.
+    earlier, then the longer one counts. A url is listed if it is personal(), or, with urls, always. No row moves; the
+    texts pass Arrow once.
 
     Null, empty and clean texts give no rows; a null doc_id gives rows with a null doc_id; repeated rows give theirs
     each time. Columns other than doc_id and text aren't looked at. An empty table gives no rows.
@@ -179,7 +193,7 @@ def find(docs: DataFrame) -> DataFrame:
             ids, rows = b.column(0).to_pylist(), []
             for i, t in zip(ids, b.column(1)):
                 if (s := t.as_py()) is not None:
-                    rows += [(i, k, x, y, s[x:y]) for k, x, y in scan(s)]
+                    rows += [(i, k, x, y, s[x:y]) for k, x, y in scan(s, urls)]
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "kind", "start", "end", "value"])
 
