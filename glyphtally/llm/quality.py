@@ -16,6 +16,8 @@ LICENCE = r"(?i)(licensed under|released under the|all rights reserved|copyright
 NAVIGATION = r"(^|[ \t])[|»›•](?=[ \t]|$)"
 TERMINAL = r"[.!?…。！？:;][\"'”’»)\]]*$"
 PUNCTUATION = r"[.,;:!?…]"
+#: Characters of scripts that put no blanks between words, each of which counts as a word: kana, Han, Thai.
+UNSPACED = "[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]"
 SYMBOLS = r"[^\p{L}\p{N}\p{M} \t.,;:!?'\"’”“«»()…-]"
 
 
@@ -30,9 +32,9 @@ def without(text: Column, chars: str) -> Column:
     return reduce(lambda x, c: F.replace(x, F.lit(c), F.lit("")), chars, text)
 
 
-def measured(line: Column) -> Column:
-    """(line, words, rest, marks): numbers of words and punctuation marks, and what the symbol rule has yet to look at."""
-    words = F.length(line) - F.length(without(line, " ")) + 1
+def measured(line: Column, unspaced: Column) -> Column:
+    """(line, words, rest, marks): numbers of words and punctuation marks, and what the symbol rule has yet to look at. unspaced: whether the text has UNSPACED characters at all."""
+    words = F.length(line) - F.length(without(line, " ")) + 1 + F.when(unspaced, F.length(line) - F.length(F.regexp_replace(line, UNSPACED, ""))).otherwise(0)
     marks = F.length(F.regexp_replace(line, "[^" + PUNCTUATION[1:-1] + "]++", ""))
     return F.struct(line.alias("line"), words.alias("words"), F.regexp_replace(line, PLAIN, "").alias("rest"), marks.alias("marks"))
 
@@ -63,7 +65,8 @@ def clean_lines(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
     A line is judged without blanks around it; blank lines stay where they are and count nothing. The rules, in order:
     licence notices, which are cut but count neither as kept nor as lost; a separate bar, bullet or angle mark
     (navigation); boilerplate phrases; over 15 % symbols; over 12 % punctuation in 6 words or more; fewer than 6 words
-    without an end mark; 20 words or more of which under a tenth are distinct. A line that repeats an earlier one isn't
+    without an end mark; 20 words or more of which under a tenth are distinct. Words are what blanks part, and each kana, Han
+    and Thai character. A line that repeats an earlier one isn't
     touched here. All expressions stay in the JVM and no row moves.
 
     Rows with null, empty or blank text have nothing to keep and are dropped. A null doc_id, repeated rows and other
@@ -73,14 +76,14 @@ def clean_lines(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
     blanks = " \t\r"
     may, judged, result = fresh(docs, "_may"), fresh(docs, "_judged"), fresh(docs, "_result")
     low = F.lower("text")
-    flags = F.struct(*[reduce(lambda a, b: a | b, [low.contains(x) for x in xs]).alias(k) for k, xs in HINTS.items()])
+    flags = F.struct(*[reduce(lambda a, b: a | b, [low.contains(x) for x in xs]).alias(k) for k, xs in HINTS.items()], F.col("text").rlike(UNSPACED).alias("unspaced"))
     flag = {k: F.col(may)[k] for k in HINTS}
 
     # each step is a pass of its own over the lines: a lambda's variable is computed once, an expression wherever it is used
     bare = lambda x: F.when(x.contains("\t") | x.contains("\r"), F.trim(x, F.lit(blanks))).otherwise(F.trim(x))
     why = lambda m: F.when(F.length(m["line"]) == 0, "").otherwise(F.coalesce(fails(m, flag), F.lit("")))
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("x"), bare(x).alias("bare")))
-    lines = F.transform(lines, lambda y: F.struct(y["x"].alias("x"), measured(y["bare"]).alias("m")))
+    lines = F.transform(lines, lambda y: F.struct(y["x"].alias("x"), measured(y["bare"], F.col(may)["unspaced"]).alias("m")))
     size = lambda x: F.length(without(x, " \t\r\n"))
     out = once(docs.where("text IS NOT NULL"), may, flags)
     out = once(out, judged, F.transform(lines, lambda y: F.struct(y["x"].alias("x"), why(y["m"]).alias("why"))))
@@ -107,12 +110,13 @@ _BOIL, _NAV, _LIC = BOILERPLATE, r"(^|[ \t])[|»›•]([ \t]|$)", LICENCE
 _SYM, _END = SYMBOLS.replace("'", "''"), TERMINAL.replace("'", "''")
 SQL = f"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
-t AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS s FROM l),
+t0 AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS s FROM l),
+t AS (SELECT *, length(s) - length(replace(s, ' ', '')) + 1 + length(s) - length(regexp_replace(s, '{UNSPACED}', '', 'g')) AS words FROM t0),
 f AS (SELECT *, CASE WHEN length(s) = 0 THEN '' WHEN regexp_matches(s, '{_LIC}') THEN 'licence' WHEN regexp_matches(s, '{_NAV}') OR regexp_matches(s, '{_BOIL}') THEN 'bad'
   WHEN length(s) - length(regexp_replace(s, '{_SYM}', '', 'g')) > length(s) * {MAX_SYMBOLS}::DOUBLE THEN 'bad'
-  WHEN length(s) - length(replace(s, ' ', '')) + 1 >= {SHORT_WORDS} AND length(s) - length(regexp_replace(s, '{PUNCTUATION}', '', 'g')) > length(s) * {MAX_PUNCTUATION}::DOUBLE THEN 'bad'
-  WHEN length(s) - length(replace(s, ' ', '')) + 1 < {SHORT_WORDS} AND NOT regexp_matches(s, '{_END}') THEN 'bad'
-  WHEN length(s) - length(replace(s, ' ', '')) + 1 >= {LONG_WORDS} AND len(list_distinct(string_split(s, ' '))) < (length(s) - length(replace(s, ' ', '')) + 1) * {MIN_DISTINCT}::DOUBLE THEN 'bad' ELSE '' END AS why FROM t),
+  WHEN words >= {SHORT_WORDS} AND length(s) - length(regexp_replace(s, '{PUNCTUATION}', '', 'g')) > length(s) * {MAX_PUNCTUATION}::DOUBLE THEN 'bad'
+  WHEN words < {SHORT_WORDS} AND NOT regexp_matches(s, '{_END}') THEN 'bad'
+  WHEN words >= {LONG_WORDS} AND len(list_distinct(string_split(s, ' '))) < words * {MIN_DISTINCT}::DOUBLE THEN 'bad' ELSE '' END AS why FROM t),
 j AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE why = ''), '') AS text, coalesce(string_agg(line, '') FILTER (WHERE why = 'bad'), '') AS lost FROM f GROUP BY doc_id),
 z AS (SELECT *, length(regexp_replace(text, '[ \t\r\n]+', '', 'g')) AS a, length(regexp_replace(lost, '[ \t\r\n]+', '', 'g')) AS b FROM j)
 SELECT doc_id, text, length(text)::BIGINT AS n_chars FROM z WHERE a > 0 AND b <= (a + b) * {MAX_LOSS}::DOUBLE
