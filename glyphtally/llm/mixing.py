@@ -9,7 +9,7 @@ from .common import cut, fresh, small, table
 
 #: Weight of a source that isn't named; the total is that of the sources present.
 DEFAULT_WEIGHT, SEED, STEP, TERMS = 1.0, 29, 16.0, 96
-#: The corpus has one source with most documents; all others get the same weight, it thrice as much.
+#: Target weights of the query: src0 gets thrice as much text as any other source, whatever they have.
 WEIGHTS = {"src0": 3.0}
 
 

@@ -17,11 +17,11 @@ def test_query_equals_sql(spark, sf, name):
 
 @pytest.mark.parametrize(
     "line, why",
-    [("Home | About | Contact us now", "navigation"), ("Please accept our cookie policy to go on.", "boilerplate"), ("Released under the MIT licence.", "licence"), ("#### $$$$ %%%% &&&&", "symbols"), ("a, b, c, d, e, f, g, h", "punctuation"), ("Three words only", "punctuation"), ("word " * 30, "repetition"), ("A plain sentence of seven words here.", None), ("Short one.", None)],
+    [("Home | About | Contact us now", "navigation"), ("Please accept our cookie policy to go on.", "boilerplate"), ("Released under the MIT licence.", "licence"), ("#### $$$$ %%%% &&&&", "symbols"), ("a, b, c, d, e, f, g, h", "punctuation"), ("Three words only", "punctuation"), ("word " * 30, "repetition"), ("A plain sentence of seven words here.", None), ("这是一个没有句号的中文句子", None), ("你好", "punctuation"), ("Short one.", None)],
 )
 def test_line_rules(spark, line, why):
     yes = {k: F.lit(True) for k in quality.HINTS}
-    assert spark.createDataFrame([(line.strip(),)], "x string").select(quality.measured(F.col("x")).alias("m")).select(quality.fails(F.col("m"), yes)).first()[0] == why
+    assert spark.createDataFrame([(line.strip(),)], "x string").select(quality.measured(F.col("x"), F.lit(True)).alias("m")).select(quality.fails(F.col("m"), yes)).first()[0] == why
 
 
 def test_quality_rejects_and_keeps(spark):
@@ -30,6 +30,16 @@ def test_quality_rejects_and_keeps(spark):
     assert {r.doc_id: r.text for r in quality.clean_lines(d).collect()} == {1: f"{good}\n\n{good}", 3: good}
 
 
+def test_quality_ties_and_long_lines(spark):
+    good, bad = "Eight letters in all the words of this.", "Home | About | Contact us now for more to see"
+    size = lambda x: len(x.replace(" ", ""))
+    even = good + "x" * (size(bad) - size(good))
+    long = "one two three four five six seven eight " * 50_000
+    d = spark.createDataFrame([(1, f"{even}\n{bad}"), (2, f"{even[:-1]}\n{bad}"), (3, long), (4, "这是一个没有句号的中文句子\n这是另外一个没有句号的句子")], "doc_id long, text string")
+    # a loss of exactly half is kept, one character more isn't
+    assert {r.doc_id: len(r.text) for r in quality.clean_lines(d).collect()} == {1: len(even), 4: 27}
+
+
 def test_quality_messy(spark):
     d = messy.table(spark)
     out = quality.clean_lines(d)
@@ -153,6 +163,15 @@ def test_mixing_shares(spark):
     assert abs(counts.sum() / 600 - 5) < 0.4 and counts.max() > 8
 
 
+def test_mixing_nulls(spark):
+    """A null source is a source, a null doc_id is a document, equal rows repeat alike, and all of a null source's rows go by one rate."""
+    rows = [(i if i % 2 else None, "abcd", None) for i in range(2000)] + [(9999, "abcd", "a")] * 2 + [(7, None, "b"), (8, "", "b")]
+    out = mixing.replicate(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"a": 1.0}, 1.0)
+    c = Counter((r.doc_id, r.source) for r in out.select("doc_id", "source").collect())
+    assert c[9999, "a"] % 2 == 0 and c[9999, "a"] > 100 and not any(s == "b" for _, s in c)
+    assert c[None, None] % 1000 == 0 and sum(n for (i, s), n in c.items() if i is not None and s is None) > 300
+
+
 def test_mixing_messy(spark):
     d = messy.table(spark)
     out = mixing.mixed(d, {"a": 2.0}, 3.0)
