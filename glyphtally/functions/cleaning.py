@@ -11,6 +11,8 @@ from pyspark.sql.types import StringType
 
 _LETTERS = "áàâãéêíóôõúçü"
 _UPPER = _LETTERS.upper()
+#: Letters before which a mark after a digit is set apart.
+LETTERS = f"A-Za-z{_UPPER}{_LETTERS}"
 #: Characters that cleaned text may have, by language, as the inside of a Java character class.
 ALLOWED = {"pt": rf"A-Za-z{_UPPER}{_LETTERS}\d_\s.,:;!?/°ºª²³µ%$€£¢¥₹₽()\[\]{{}}–—-"}
 ALLOWED["any"] = rf"\p{{L}}\p{{M}}{ALLOWED['pt']}"
@@ -30,7 +32,10 @@ ADDRESSES = {
 }
 ADDRESS = "(?iU)(?:" + "|".join(ADDRESSES.values()) + ")"
 _EYES, _MOUTH = "[:;=]", r"[\]\[(){}<>dp3@$*/\\|]"  # Java takes a bare bracket inside a class for a nested class
-EMOTICON = rf"(?iU)(?<!\S)(?:{_EYES}-?{_MOUTH}|{_MOUTH}-?{_EYES}|<3|xd|\^[_.]?\^|>_<|>.<|-_-|\._\.|o_o|0_0|t_t|to?t)(?!\S)"
+_FACES = rf"(?:{_EYES}-?{_MOUTH}|{_MOUTH}-?{_EYES}|<3|xd|\^[_.]?\^|>_<|>.<|-_-|\._\.|o_o|0_0|t_t|to?t)"
+EMOTICON = rf"(?iU)(?<!\S){_FACES}(?!\S)"
+#: The same for a whole token between white space, for engines without lookaround.
+EMOTICON_TOKEN = f"(?i){_FACES}"
 
 
 @F.pandas_udf(StringType())
@@ -61,7 +66,7 @@ def space_after_letters(text: Column) -> Column:
 
 
 def space_after_digits(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)(\d)([:;,])(?=[A-Za-z{_UPPER}{_LETTERS}])", "$1 $2 ")
+    return F.regexp_replace(text, rf"(?U)(\d)([:;,])(?=[{LETTERS}])", "$1 $2 ")
 
 
 def drop_repeated_marks(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -67,6 +68,21 @@ def without(tokens: Column, stop: list[str] = ()) -> Column:
     return F.filter(tokens, lambda t: (t != "") & ~t.isin(*stop)) if len(stop) else F.filter(tokens, lambda t: t != "")
 
 
+def minimal(text: Column, lang: str = "pt", compose: bool = True) -> Column:
+    """The least that is done to text: cleaned and tokenized, in lower case, without punctuation."""
+    from .cleaning import clean
+
+    return F.transform(F.filter(tokenize(clean(text, lang, compose)), lambda t: ~is_punct(t)), lambda t: F.lower(t))
+
+
+def plural_lemmas(docs: DataFrame) -> DataFrame:
+    """(form, lemma) for words in s whose rest, three letters or more, is a word of docs (tokens) as frequent at least: a table from the corpus itself, where no dictionary is at hand."""
+    words = docs.select(F.explode("tokens").alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+    stems = words.select(F.col("form").alias("lemma"), F.col("n").alias("m"))
+    forms = words.where("endswith(form, 's') AND length(form) > 3").select("form", "n", F.expr("left(form, length(form) - 1)").alias("lemma"))
+    return forms.join(stems, "lemma").where("m >= n").select("form", "lemma")
+
+
 def is_protected(token: Column) -> Column:
     return token.isin(*sorted(set(UNITS.values()) | PROTECTED))
 
@@ -93,6 +109,15 @@ def process(docs: DataFrame, lang: str = "pt", stop: list[str] = (), lemmas: Dat
     return lemmatize(docs.withColumn("tokens", normalized(tokenize(clean(F.col("text"), lang)), stop)), lemmas, stop)
 
 
+def timed_stats(spark, make, path: str) -> tuple[DataFrame, float]:
+    """run_stats() of the tokens that make() gives, written to path and read back, and tokens a second: what a run reports of its speed."""
+    began = time.perf_counter()
+    make().write.mode("overwrite").parquet(path)
+    took = time.perf_counter() - began
+    stats = run_stats(spark.read.parquet(path))
+    return stats, (stats.agg(F.sum("tokens")).first()[0] or 0) / max(took, 1e-9)
+
+
 def run_stats(docs: DataFrame, by: tuple[str, ...] = ("part",)) -> DataFrame:
     """Documents in and out, empty ones, tokens, and the share of documents lost in per cent."""
     some = F.count(F.when(F.size("tokens") > 0, 1))

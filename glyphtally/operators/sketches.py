@@ -9,10 +9,12 @@ from __future__ import annotations
 import json
 import math
 import struct
+import time
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +87,11 @@ class Sketch:
         """(depth, keys) cells."""
         return cells(city64(keys, self.seed), self.widths())
 
+    def insert_keys(self, at: np.ndarray, codes: np.ndarray) -> None:
+        """insert() of the keys at[:, codes], in order; at has the cells of each distinct key."""
+        for i in range(0, len(codes), 1 << 16):
+            self.insert(at[:, codes[i : i + (1 << 16)]])
+
     def add(self, key) -> None:
         self.insert(self.where([key]))
 
@@ -166,6 +173,29 @@ class CMS(Sketch):
                     if x == m:
                         r[i] = m + 1
 
+    def insert_keys(self, at: np.ndarray, codes: np.ndarray) -> None:
+        """insert() of the keys at[:, codes], in order, by numpy where order doesn't matter.
+
+        A key that shares no cell with another of the same run ends where so many insertions on their own would bring it:
+        each of its cells at its least cell plus their number, or higher if it was. Only keys that share a cell go one by
+        one. A run is short against the width, so that few do; narrow sketches gain nothing by it.
+        """
+        step = min(1 << 16, self.width >> 5)
+        if step < 1024:
+            return super().insert_keys(at, codes)
+        rows = [np.frombuffer(r, np.uint32) for r in self.rows]
+        for i in range(0, len(codes), step):
+            keys, where, times = np.unique(codes[i : i + step], return_inverse=True, return_counts=True)
+            own, alone = at[:, keys], np.ones(len(keys), bool)
+            for cells_ in own:
+                _, back, n = np.unique(cells_, return_inverse=True, return_counts=True)
+                alone &= n[back] == 1
+            seen = np.stack([r[c] for r, c in zip(rows, own[:, alone])])
+            up = np.minimum(seen.min(0).astype(np.int64) + times[alone], U32)
+            for r, c, x in zip(rows, own[:, alone], seen):
+                r[c] = np.maximum(x, up)
+            self.insert(own[:, where[~alone[where]]])
+
     def read(self, at: np.ndarray) -> np.ndarray:
         return np.min([np.frombuffer(r, np.uint32)[i] for r, i in zip(self.rows, at)], 0).astype(np.float64)
 
@@ -433,10 +463,26 @@ KINDS = {
 BUDGET = 79_083_480
 
 
+#: What each structure is.
+ABOUT = {
+    "CMS-CU": ("Count-Min Sketch with conservative update", "32-bit counters; only the least ones of a key grow"),
+    "CML8S-CU": ("Count-Min-Log Sketch with conservative update", "8-bit counters that grow with a falling chance"),
+    "CMTS-CU": ("Count-Min Tree Sketch with conservative update", "counters whose upper bits neighbours share"),
+    "CL-CU": ("Count-Less Sketch with conservative update", "layers of fewer and fewer bits, more and more counters"),
+    "CL-MU": ("Count-Less Sketch with minimum update", "the same layers, filled from the last to the first"),
+    "CML8HS-CU": ("Count-Min-Log hybrid sketch with conservative update", "linear rows for what is frequent, logarithmic ones for the rest"),
+}
+
+
 def available() -> list[str]:
     return list(KINDS)
 
 
+def info(budget: int = BUDGET, seed: int = 42) -> list[dict]:
+    """Rows of (structure, name, description, parameters, defaults): the registry in words."""
+    return [{"structure": n, "name": ABOUT[n][0], "description": ABOUT[n][1], "parameters": list(params_for(n, budget, seed)), "defaults": json.dumps(params_for(n, budget, seed))} for n in KINDS]
+
+
 def kind(name: str):
     if name not in KINDS:
         raise ValueError(f"no structure {name}; there are {', '.join(KINDS)}")
@@ -476,8 +522,10 @@ def load_file(name: str, path: str) -> Sketch:
         return load(name, f.read())
 
 
-SKETCHES = "part int, structure string, params string, n long, blob binary"
-ESTIMATES = "part int, structure string, kind string, key string, freq long, est double"
+#: Tokens whose pairs are made at once.
+SLICE_TOKENS = 1 << 18
+SKETCHES = "part int, structure string, params string, n long, blob binary, seconds double"
+ESTIMATES = "part int, structure string, kind string, key string, freq long, est double, seconds double"
 
 
 def by_part(df: DataFrame) -> DataFrame:
@@ -486,55 +534,144 @@ def by_part(df: DataFrame) -> DataFrame:
     return df.repartitionById(n, F.pmod(F.col("part"), F.lit(n)).cast("int"))
 
 
+def _fresh(part: int, specs: dict[str, dict]) -> dict[str, Sketch]:
+    held = {k: create(k, p | {"seed": p.get("seed", 42)}) for k, p in specs.items()}
+    for s in held.values():  # the random numbers of a part are its own
+        if hasattr(s, "rng"):
+            s.rng = np.random.default_rng([s.seed, part])
+    return held
+
+
+class _Filling:
+    """The sketches of one part at a time, and how long each took to fill."""
+
+    def __init__(self, specs: dict[str, dict]):
+        self.specs, self.part, self.n = specs, None, 0
+
+    def turn(self, part: int):
+        """Begin a part if it is another; a batch of the last part's sketches, if there was one."""
+        if part == self.part:
+            return None
+        done = self.done()
+        self.part, self.n, self.held = part, 0, _fresh(part, self.specs)
+        self.seconds = dict.fromkeys(self.held, 0.0)
+        return done
+
+    def insert(self, words: list[str], codes: np.ndarray) -> None:
+        hashes: dict[int, np.ndarray] = {}
+        for name, s in self.held.items():
+            if s.seed not in hashes:
+                hashes[s.seed] = city64(words, s.seed)
+            began = time.perf_counter()
+            s.insert_keys(cells(hashes[s.seed], s.widths()), codes)
+            self.seconds[name] += time.perf_counter() - began
+        self.n += len(codes)
+
+    def done(self):
+        if self.part is None:
+            return None
+        rows = [(self.part, k, json.dumps(s.params()), self.n, s.to_bytes(), self.seconds[k]) for k, s in self.held.items()]
+        types = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["part", "structure", "params", "n", "blob", "seconds"])
+
+
+def _runs(parts: np.ndarray):
+    """(first, last + 1, part) of each run of equal parts."""
+    cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)] if len(parts) else [0]
+    return [(a, z, int(parts[a])) for a, z in zip(cuts, cuts[1:])]
+
+
 def build(stream: DataFrame, specs: dict[str, dict]) -> DataFrame:
-    """(part, structure, params, n, blob): sketches of each part of ngrams.stream(), by insertion in order.
+    """(part, structure, params, n, blob, seconds): sketches of each part of ngrams.stream(), by insertion in order.
 
     Rows are shuffled by part and sorted by place; tasks stream them through and hold the sketches of one part at a time.
     A part is one task's work, so a corpus takes as many parts as it has cores. Keys are hashed once for each batch in
-    which they occur.
+    which they occur. For documents, build_docs() gives the same sketches and moves no pairs.
     """
     for name, p in specs.items():
         create(name, p | {"width": 1})  # wrong names and parameters stop here
 
     def run(batches):
-        part, held, n = None, {}, 0
-
-        def flush():
-            rows = [(part, k, json.dumps(s.params()), n, s.to_bytes()) for k, s in held.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary()))], ["part", "structure", "params", "n", "blob"])
-
+        filling = _Filling(specs)
         for b in batches:
-            if not b.num_rows:
-                continue
-            parts = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
-            for a, z in zip(cuts, cuts[1:]):
-                if part != int(parts[a]):
-                    if part is not None:
-                        yield flush()
-                    part, n = int(parts[a]), 0
-                    held = {k: create(k, p | {"seed": p.get("seed", 42)}) for k, p in specs.items()}
-                    for s in held.values():  # the random numbers of a part are its own
-                        if hasattr(s, "rng"):
-                            s.rng = np.random.default_rng([s.seed, part])
+            for a, z, part in _runs(b.column(0).to_numpy()):
+                if done := filling.turn(part):
+                    yield done
                 keys = b.column(1).slice(a, z - a).dictionary_encode()
-                codes, words = keys.indices.to_numpy(), keys.dictionary.to_pylist()
-                hashes: dict[int, np.ndarray] = {}
-                for s in held.values():
-                    if s.seed not in hashes:
-                        hashes[s.seed] = city64(words, s.seed)
-                    s.insert(cells(hashes[s.seed], s.widths())[:, codes])
-                n += z - a
-        if part is not None:
-            yield flush()
+                filling.insert(keys.dictionary.to_pylist(), keys.indices.to_numpy())
+        if done := filling.done():
+            yield done
 
     place = ["part", "doc", "pos", "offset"]
     rows = by_part(stream.select(*place, "key")).sortWithinPartitions(*place).select("part", "key")
     return rows.mapInArrow(run, SKETCHES)
 
 
+def stream_codes(codes: np.ndarray, ends: np.ndarray, n_words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stream, pairs): the keys of documents in order of insertion, as numbers; pairs has (first, second) word of numbers from n_words on.
+
+    codes are the documents' words one after another, as numbers in code-point order; ends says where documents end.
+    """
+    n = len(codes)
+    stop = np.repeat(ends, np.diff(np.r_[0, ends]))
+    table = np.full((n, window), -1, np.int64)
+    table[:, 0] = codes
+    at = np.arange(n)
+    for d in range(1, window):
+        i = at[at + d < stop]
+        a, b = codes[i], codes[i + d]
+        table[i, d] = n_words + np.minimum(a, b) * n_words + np.maximum(a, b)
+    stream = table.reshape(-1)
+    stream = stream[stream >= 0]
+    found, back = np.unique(stream, return_inverse=True)
+    pairs = found[found >= n_words] - n_words
+    number = np.where(found < n_words, found, n_words + np.arange(len(found)) - (len(found) - len(pairs)))
+    return number[back], np.stack([pairs // max(1, n_words), pairs % max(1, n_words)], 1)
+
+
+def build_docs(docs: DataFrame, specs: dict[str, dict], window: int = 3, key: str = "doc_id") -> DataFrame:
+    """build() of ngrams.stream(docs, window, key), straight from docs (part, key, tokens).
+
+    Only token arrays move: documents are shuffled by part and sorted by key, and a task makes the pairs of a slice of them
+    with numpy, as numbers, and their texts once for each distinct one.
+    """
+    for name, p in specs.items():
+        create(name, p | {"width": 1})
+
+    def run(batches):
+        filling = _Filling(specs)
+        for b in batches:
+            for a, z, part in _runs(b.column(0).to_numpy()):
+                if done := filling.turn(part):
+                    yield done
+                lists = b.column(1).slice(a, z - a)
+                ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+                flat = lists.flatten()
+                i = 0
+                while i < len(ends):  # slices of whole documents
+                    start = int(ends[i - 1]) if i else 0
+                    j = max(i + 1, int(np.searchsorted(ends, start + SLICE_TOKENS, "right")))
+                    tokens = flat.slice(start, int(ends[j - 1]) - start).dictionary_encode()
+                    names = tokens.dictionary.to_pylist()
+                    order = sorted(range(len(names)), key=names.__getitem__)
+                    rank = np.empty(len(names), np.int64)
+                    rank[order] = np.arange(len(names))
+                    texts = tokens.dictionary.take(pa.array(order, pa.int64()))
+                    codes, pairs = stream_codes(rank[tokens.indices.to_numpy()], ends[i:j] - start, len(names), window)
+                    keys = [texts]
+                    if len(pairs):
+                        keys.append(pc.binary_join_element_wise(texts.take(pa.array(pairs[:, 0])), texts.take(pa.array(pairs[:, 1])), " "))
+                    filling.insert([x for k in keys for x in k.to_pylist()], codes)
+                    i = j
+        if done := filling.done():
+            yield done
+
+    rows = by_part(docs.where(F.size("tokens") > 0).select("part", F.col(key).alias("doc"), "tokens")).sortWithinPartitions("part", "doc").select("part", "tokens")
+    return rows.mapInArrow(run, SKETCHES)
+
+
 def estimate(counts: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(part, structure, kind, key, freq, est) of every counted key, from every sketch of its part.
+    """ESTIMATES of every counted key, from every sketch of its part; seconds: those of its batch over its keys.
 
     Sketches and keys are shuffled by part, sketches sorted first; keys then stream by them. Parts without a sketch are
     left out; ppmi.missing() names them.
@@ -560,9 +697,10 @@ def estimate(counts: DataFrame, sketches: DataFrame) -> DataFrame:
                 for name, sk in held.items():
                     if sk.seed not in hashes:
                         hashes[sk.seed] = city64(words, sk.seed)
+                    began, m = time.perf_counter(), z - a
                     est = sk.read(cells(hashes[sk.seed], sk.widths()))
-                    m = z - a
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, np.int32)), pa.array([name] * m), kinds, keys, freq, pa.array(est)], ["part", "structure", "kind", "key", "freq", "est"])
+                    took = np.full(m, (time.perf_counter() - began) / m)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, np.int32)), pa.array([name] * m), kinds, keys, freq, pa.array(est), pa.array(took)], ["part", "structure", "kind", "key", "freq", "est", "seconds"])
 
     return by_part(s.unionByName(k)).sortWithinPartitions("part", "ord").mapInArrow(run, ESTIMATES)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Ranks that are made at once.
+BLOCK = 1 << 20
+
 
 def histogram(counts: DataFrame, by: tuple[str, ...] = ("part", "kind")) -> DataFrame:
     """(by, freq, keys): how many keys have a frequency. As long as there are distinct frequencies, which is short."""
@@ -19,11 +21,17 @@ def series(counts: DataFrame) -> DataFrame:
     return counts.select("part", "kind", "freq").unionByName(whole).select("part", F.explode(F.array("kind", F.lit("combined"))).alias("kind"), "freq")
 
 
-def rank_frequency(counts: DataFrame, by: tuple[str, ...] = ("part", "kind")) -> DataFrame:
-    """(by, rank, freq): frequencies in falling order. Equal ones share a block of ranks, which comes from the histogram: no global sort of keys."""
+def rank_frequency(counts: DataFrame, by: tuple[str, ...] = ("part", "kind"), block: int = BLOCK) -> DataFrame:
+    """(by, rank, freq): frequencies in falling order. Equal ones share a block of ranks, which comes from the histogram: no global sort of keys.
+
+    The ranks of a frequency are made block by block, blocks dealt to tasks: there may be more keys seen once than an array holds.
+    """
     w = Window.partitionBy(*by).orderBy(F.desc("freq"))
     h = histogram(counts, by).withColumn("last", F.sum("keys").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return h.select(*by, F.explode(F.sequence(F.col("last") - F.col("keys") + 1, F.col("last"))).alias("rank"), "freq")
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = h.select(*by, "freq", "last", F.explode(F.sequence(F.col("last") - F.col("keys") + 1, F.col("last"), F.lit(block).cast("long"))).alias("start"))
+    dealt = starts.repartition(n, *by, "start")
+    return dealt.select(*by, F.explode(F.sequence(F.col("start"), F.least(F.col("start") + (block - 1), F.col("last")))).alias("rank"), "freq")
 
 
 def ccdf(counts: DataFrame, by: tuple[str, ...] = ("part", "kind")) -> DataFrame:
@@ -33,10 +41,10 @@ def ccdf(counts: DataFrame, by: tuple[str, ...] = ("part", "kind")) -> DataFrame
     return histogram(counts, by).select(*by, "freq", (F.sum("keys").over(up) / F.sum("keys").over(w)).alias("p"))
 
 
-def ideal_rank(ranks: DataFrame, by: tuple[str, ...] = ("part", "kind")) -> DataFrame:
-    """(by, rank, ideal): the first frequency over the rank, for every rank there is."""
+def with_ideal_rank(ranks: DataFrame, by: tuple[str, ...] = ("part", "kind")) -> DataFrame:
+    """ranks with ideal_rank, the first frequency over the rank. The first ranks are a row for each curve."""
     first = ranks.where("rank = 1").select(*by, F.col("freq").alias("_first"))
-    return ranks.join(F.broadcast(first), list(by)).select(*by, "rank", (F.col("_first") / F.col("rank")).alias("ideal"))
+    return ranks.join(F.broadcast(first), list(by)).select(*by, "rank", "freq", (F.col("_first") / F.col("rank")).alias("ideal_rank"))
 
 
 def ideal_ccdf(curve: DataFrame, alpha: float = 2.0) -> DataFrame:
@@ -44,17 +52,19 @@ def ideal_ccdf(curve: DataFrame, alpha: float = 2.0) -> DataFrame:
     return curve.withColumn("ideal", F.pow(F.col("freq"), F.lit(1 - alpha)))
 
 
-def log_ranks(n: int, most: int) -> list[int]:
-    """Ranks of at most so many points of n, evenly spread in the logarithm; the first one is there, and all are if n allows."""
-    if n <= most:
-        return list(range(1, n + 1))
-    at = np.logspace(0, np.log10(n - 1), most, dtype=int)
-    return [int(i) + 1 for i in np.unique(np.insert(at, 0, 0))]
+def log_ranks(n: Column, most: Column) -> Column:
+    """Ranks of at most so many points of n, as an array: evenly spread in the logarithm, first and last among them; all if n allows.
+
+    A point just under a whole number counts as that number, so that engines agree on it.
+    """
+    at = lambda i: F.floor(F.pow(F.lit(10.0), i * (F.log10(n - 1) / (most - 1))) * F.lit(1 + 1e-12)) + 1
+    spread = F.concat(F.array(F.lit(1).cast("long")), F.transform(F.sequence(F.lit(0).cast("long"), most.cast("long") - 2), at), F.array(n))
+    return F.array_distinct(F.when(n <= most, F.sequence(F.lit(1).cast("long"), n)).otherwise(spread))
 
 
-def sample(ranks: DataFrame, most: int, by: tuple[str, ...] = ("part", "kind")) -> DataFrame:
-    """ranks thinned to log_ranks() for each curve; most is the size of a plot."""
-    sizes = ranks.groupBy(*by).agg(F.max("rank").alias("n")).collect()
-    rows = [(*[r[b] for b in by], k) for r in sizes for k in log_ranks(r["n"], most)]
-    wanted = ranks.sparkSession.createDataFrame(rows, ranks.select(*by, "rank").schema)
+def sample(ranks: DataFrame, most: Column | int, by: tuple[str, ...] = ("part", "kind")) -> DataFrame:
+    """ranks thinned to log_ranks() for each curve; most is the size of a plot, so what is wanted is small."""
+    most = most if isinstance(most, Column) else F.lit(most)
+    sizes = ranks.groupBy(*by).agg(F.max("rank").alias("n"))
+    wanted = sizes.select(*by, F.explode(log_ranks(F.col("n"), most)).alias("rank"))
     return ranks.join(wanted, [*by, "rank"], "left_semi")

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import cleaning, hashing, tokens
 from ..functions.lexicon import STOP_WORDS
-from ..operators import accuracy, ngrams, ppmi, sketches, zipf
+from ..operators import accuracy, ngrams, ppmi, reports, sketches, zipf
 from ..sources import corpus
+from . import benchmark
 
-CONFIG = Config()
-#: Of the linear sketch that SQL can follow; bytes of a sketch where all six are built; floor and ranks of rankings.
+#: SEED, JANELA and PARTES of the environment hold for queries and their SQL.
+CONFIG = Config.from_env()
+#: Of the linear sketch that SQL can follow; bytes of a sketch where all six are built; floor and ranks of rankings; points of a plot, for a part and for the whole.
 LINEAR = {"width": 4096, "depth": 3, "strategy": "md5"}
-PART_BUDGET, MIN_FREQ, TOP, RANKS = 65_536, 5, 100, (10, 100)
+PART_BUDGET, MIN_FREQ, TOP, RANKS, PLOT = 65_536, 5, 100, (10, 100), (50_000, 200_000)
 #: Wide enough that no key of the words of a part at the sizes tested shares all its cells.
 WIDE = {"CMS-CU": {"width": 1 << 18, "depth": 5}, "CL-CU": {"width": 1 << 18, "depth": 3, "expansion": 4, "mode": 0}, "CL-MU": {"width": 1 << 18, "depth": 3, "expansion": 4, "mode": 1}}
 EN, ALL = "en", [w for words in STOP_WORDS.values() for w in words]
@@ -34,7 +36,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.hashed_parts(corpus.documents(spark, sf_dir).select("doc_id", "text"), CONFIG.parts)
+    """(doc_id, text, part): over all cores, in as many parts as the size of the table takes."""
+    docs = corpus.spread(corpus.documents(spark, sf_dir).select("doc_id", "text"))
+    return corpus.hashed_parts(docs, CONFIG.parts_of(corpus.size_of(spark, f"{sf_dir}/documents.parquet")))
 
 
 def portable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +58,7 @@ def linear(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def corpus_parts(spark, sf_dir):
-    docs = corpus.non_blank(corpus.documents(spark, sf_dir).select("doc_id", "text"))
+    docs = corpus.non_blank(corpus.spread(corpus.documents(spark, sf_dir).select("doc_id", "text")))
     return corpus.contiguous_parts(docs, CONFIG.parts).select("part", "doc_id", corpus.one_line(F.col("text")).alias("text"))
 
 
@@ -71,18 +75,18 @@ def clean_text(spark, sf_dir):
     t = F.col("text")
     for step in (c.nfc, c.drop_addresses, c.space_brackets, c.space_after_letters, c.drop_repeated_marks, c.keep_allowed, c.squeeze):
         t = step(t)
-    return corpus.documents(spark, sf_dir).select("doc_id", t.alias("text"))
+    return corpus.spread(corpus.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", t.alias("text"))
 
 
 @query
 def clean_text_full(spark, sf_dir):
-    return corpus.documents(spark, sf_dir).select("doc_id", cleaning.clean(F.col("text")).alias("text"))
+    return corpus.spread(corpus.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", cleaning.clean(F.col("text")).alias("text"))
 
 
 @query
 def normalize_tokens(spark, sf_dir):
     """Normal forms of the distinct tokens between white space."""
-    raw = corpus.documents(spark, sf_dir).select(F.explode(F.split("text", r"[ \t\r\n]+", -1)).alias("token")).where("token <> ''").distinct()
+    raw = corpus.spread(corpus.documents(spark, sf_dir).select("doc_id", "text")).select(F.explode(F.split("text", r"[ \t\r\n]+", -1)).alias("token")).where("token <> ''").distinct()
     return raw.select("token", tokens.normalize(F.col("token")).alias("normal"))
 
 
@@ -112,11 +116,20 @@ def strategy_stats(spark, sf_dir):
 
 @query
 def strategy_stats_full(spark, sf_dir):
-    d = portable(spark, sf_dir)
-    stats = ngrams.strategy_stats({"minima": d, "minima_sw": d.withColumn("tokens", tokens.without(F.col("tokens"), ALL)), "completa": tokens.process(texts(spark, sf_dir), "any", ALL)})
+    """The least, the least without stop words, and all that is done to text; the first two are cleaned and tokenized like the third."""
+    t = texts(spark, sf_dir)
+    d = t.select("doc_id", "part", tokens.minimal(F.col("text"), "any").alias("tokens"))
+    stats = ngrams.strategy_stats({"minima": d, "minima_sw": d.withColumn("tokens", tokens.without(F.col("tokens"), ALL)), "completa": tokens.process(t, "any", ALL)})
     return rounded(stats.join(ngrams.relative_to_first(stats, "minima"), ["strategy", "part"]))
 
 
+@query
+def lemmatized_counts(spark, sf_dir):
+    """Counts of lemmas: stop words go, plurals in s become their stems, and what becomes a stop word goes too."""
+    d = portable(spark, sf_dir).withColumn("tokens", tokens.without(F.col("tokens"), ALL))
+    return ngrams.count(ngrams.keys(tokens.lemmatize(d, tokens.plural_lemmas(d), ALL), CONFIG.window, both=False)).select("part", "key", "freq")
+
+
 @query
 def word_counts(spark, sf_dir):
     return ngrams.count(ngrams.keys(portable(spark, sf_dir), CONFIG.window, both=False)).select("part", "key", "freq")
@@ -174,14 +187,15 @@ def zipf_ccdf(spark, sf_dir):
 
 @query
 def zipf_ideal(spark, sf_dir):
-    whole = zipf.series(ngrams.count(ngrams.keys(portable(spark, sf_dir), both=False))).where("part = 0 AND kind = 'word'")
-    ranks = zipf.rank_frequency(whole)
-    return zipf.ideal_rank(ranks).join(zipf.ideal_ccdf(ranks).select("part", "kind", "rank", F.col("ideal").alias("ideal_ccdf")), ["part", "kind", "rank"])
+    """The ideal lines beside each curve's ranks."""
+    ranks = zipf.rank_frequency(zipf.series(counted(spark, sf_dir)))
+    return zipf.ideal_ccdf(zipf.with_ideal_rank(ranks)).select("part", "kind", "rank", "ideal_rank", F.col("ideal").alias("ideal_ccdf"))
 
 
 @query
 def zipf_sample(spark, sf_dir):
-    return zipf.sample(zipf.rank_frequency(zipf.series(counted(spark, sf_dir))), 1000)
+    most = F.when(F.col("part") == 0, PLOT[1]).otherwise(PLOT[0])
+    return zipf.sample(zipf.rank_frequency(zipf.series(counted(spark, sf_dir))), most)
 
 
 @query
@@ -191,7 +205,7 @@ def zipf_top20(spark, sf_dir):
 
 @query
 def ppmi_scores(spark, sf_dir):
-    """Of pairs seen at least twice, as the SQL has it; ppmi_scores_all has every pair."""
+    """Of pairs seen at least twice; ppmi_scores_all has every pair."""
     return ppmi.exact(counted(spark, sf_dir), 2, 6).select("part", "key", "ppmi")
 
 
@@ -288,7 +302,7 @@ def summary_stats_total(spark, sf_dir):
 def _wide(name):
     def run(spark, sf_dir):
         d = portable(spark, sf_dir)
-        built = sketches.build(ngrams.stream(d, 1), {name: WIDE[name]})
+        built = sketches.build_docs(d, {name: WIDE[name]}, 1)
         return sketches.estimate(ngrams.count(ngrams.keys(d, both=False)), built).select("part", "key", F.col("est").cast("long").alias("freq"))
 
     return run
@@ -300,7 +314,7 @@ for _name, _short in (("CMS-CU", "cms"), ("CL-CU", "cl_cu"), ("CL-MU", "cl_mu"))
 
 def six(spark, sf_dir, names=None):
     specs = {n: sketches.params_for(n, PART_BUDGET) for n in names or sketches.KINDS}
-    return sketches.build(ngrams.stream(portable(spark, sf_dir), CONFIG.window), specs)
+    return sketches.build_docs(portable(spark, sf_dir), specs, CONFIG.window)
 
 
 def _build(name):
@@ -328,7 +342,7 @@ def sketch_invariants(spark, sf_dir):
     d = portable(spark, sf_dir)
     counts = ngrams.count(ngrams.keys(d, both=False))
     specs = {n: sketches.params_for(n, 16_384) for n in ("CMS-CU", "CL-CU", "CL-MU")}
-    est = sketches.estimate(counts, sketches.build(ngrams.stream(d, 1), specs))
+    est = sketches.estimate(counts, sketches.build_docs(d, specs, 1))
     size = {k: specs["CMS-CU"][k] for k in ("width", "depth", "seed")}
     plain = sketches.linear_estimate(counts, sketches.linear_cells(counts, strategy="city64", **size), strategy="city64", **size).select("part", "key", F.col("est").alias("plain"))
     short = est.groupBy("structure").agg(F.sum(F.when(F.col("est") < F.col("freq"), 1).otherwise(0)).alias("violations")).select(F.concat(F.lit("short "), "structure").alias("check"), "violations")
@@ -341,6 +355,42 @@ def sketch_memory(spark, sf_dir):
     return spark.createDataFrame(sketches.memory(), "structure string, width long, depth int, counter_bytes long")
 
 
+@query
+def sketch_info(spark, sf_dir):
+    """The registry in words."""
+    return spark.createDataFrame(sketches.info(), "structure string, name string, description string, parameters array<string>, defaults string").withColumn("parameters", F.array_join("parameters", ", "))
+
+
+@query
+def log_over_under(spark, sf_dir):
+    """Errors of the logarithmic sketches over and under the truth, by frequency."""
+    est = sketches.estimate(counted(spark, sf_dir), six(spark, sf_dir, ["CML8S-CU", "CML8HS-CU"]))
+    return rounded(accuracy.over_under(est))
+
+
+@query
+def ppmi_sketches(spark, sf_dir):
+    """Recall and correlation of all six sketches' rankings with the exact one, over every pair and all ranks, averaged over parts."""
+    counts = corpus.materialized(counted(spark, sf_dir))
+    est = corpus.materialized(sketches.estimate(counts, six(spark, sf_dir)))
+    return rounded(ppmi.compare_mean(ppmi.compare(ppmi.exact(counts, 1, 6), ppmi.estimated(counts, est, 1, digits=6))))
+
+
+@query
+def corpus_report(spark, sf_dir):
+    d = portable(spark, sf_dir)
+    return reports.corpus_report(d, ngrams.count(ngrams.keys(d, CONFIG.window)), CONFIG.window)
+
+
+@query
+def benchmark_run(spark, sf_dir):
+    """The whole benchmark in a new folder: errors and rankings of each structure, with the times that it took."""
+    done = benchmark.run(spark, portable(spark, sf_dir), corpus.shared_folder(spark), CONFIG, PART_BUDGET)
+    ranks = done.rankings.groupBy("structure").pivot("k", list(ppmi.KS)).agg(F.avg("recall"))
+    ranks = ranks.select("structure", *[F.col(str(k)).alias(f"recall_{k}") for k in ppmi.KS])
+    return done.report.select("structure", "mre_totais.*", F.col("estatisticas_insercao_totais.media").alias("insert_seconds"), F.col("estatisticas_consulta_totais.media").alias("query_seconds")).join(ranks, "structure", "left")
+
+
 @query
 def hash_cells(spark, sf_dir):
     """Cells of distinct words by the byte-string hash, in rows of 1,000 cells."""

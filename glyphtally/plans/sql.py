@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ..functions.cleaning import ADDRESS, ALLOWED
-from ..functions.lexicon import ABBREVIATIONS, CLITICS, STOP_WORDS, UNITS, VERBS
-from ..operators.sketches import memory
-from .queries import EN, LINEAR, MIN_FREQ, RANKS, TOP
+from ..functions.cleaning import ADDRESS, ALLOWED, EMOTICON_TOKEN, LETTERS
+from ..functions.lexicon import ABBREVIATIONS, CLITICS, PROTECTED, STOP_WORDS, SYMBOLS, UNITS, VERBS
+from ..operators.ppmi import KS
+from ..operators.sketches import info, memory
+from .queries import ALL, CONFIG, EN, LINEAR, MIN_FREQ, PLOT, RANKS, TOP
 
 
 def quoted(s: str) -> str:
@@ -17,11 +18,11 @@ def mapping(m: dict[str, str]) -> str:
 
 
 STOP = "(" + ", ".join(map(quoted, STOP_WORDS[EN])) + ")"
-TOKENS = r"t AS (SELECT doc_id, (doc_id % 10 + 1)::INT AS part, list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS tokens FROM documents)"
+TOKENS = rf"t AS (SELECT doc_id, (doc_id % {CONFIG.parts} + 1)::INT AS part, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}]+'), lambda x: x <> '') AS tokens FROM documents)"
 KEPT = rf"t AS (SELECT doc_id, part, list_filter(tokens, lambda x: x NOT IN {STOP}) AS tokens FROM t0)"
 WORDS = "w AS (SELECT part, doc_id, unnest(tokens) AS w, unnest(range(1, len(tokens) + 1)) AS pos FROM t)"
-NEXT = "n AS (SELECT *, lead(w, 1) OVER d AS w1, lead(w, 2) OVER d AS w2 FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY pos))"
-PAIRS = "p AS (SELECT part, least(w, w1) || ' ' || greatest(w, w1) AS key FROM n WHERE w1 IS NOT NULL UNION ALL SELECT part, least(w, w2) || ' ' || greatest(w, w2) FROM n WHERE w2 IS NOT NULL)"
+NEXT = "n AS (SELECT *, " + ", ".join(f"lead(w, {d}) OVER d AS w{d}" for d in range(1, CONFIG.window)) + " FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY pos))"
+PAIRS = "p AS (" + " UNION ALL ".join(f"SELECT part, least(w, w{d}) || ' ' || greatest(w, w{d}) AS key FROM n WHERE w{d} IS NOT NULL" for d in range(1, CONFIG.window)) + ")"
 COUNTS = "c AS (SELECT part, 'word' AS kind, w AS key, count(*) AS freq FROM w GROUP BY ALL UNION ALL SELECT part, 'pair', key, count(*) FROM p GROUP BY ALL)"
 BASE = f"WITH {TOKENS}, {WORDS}, {NEXT}, {PAIRS}, {COUNTS}"
 WORDS_ONLY = f"WITH {TOKENS}, {WORDS}"
@@ -46,10 +47,10 @@ EST = f"{CELLS}, e AS (SELECT part, kind, key, any_value(freq) AS freq, min(cnt)
 MRE = f"{EST}, m AS (SELECT part, coalesce(avg(error) FILTER (kind = 'word'), 0) AS mre_words, coalesce(avg(error) FILTER (kind = 'pair'), 0) AS mre_pairs, avg(error) AS mre_total, count(*) FILTER (kind = 'word') AS n_words, count(*) FILTER (kind = 'pair') AS n_pairs FROM r GROUP BY part)"
 
 
-def compared(exact_words: bool) -> str:
+def compared(exact_words: bool, ranks: tuple[int, ...] = RANKS, min_freq: int = MIN_FREQ) -> str:
     words = CW if exact_words else "(SELECT part, key, est AS freq FROM e WHERE kind = 'word')"
-    ks = ", ".join(f"({k})" for k in RANKS)
-    return f"""{EST}, {scored(CP, CW, "x", MIN_FREQ)}, {scored("(SELECT part, key, est AS freq FROM e WHERE kind = 'pair')", words, "y", MIN_FREQ)},
+    ks = ", ".join(f"({k})" for k in ranks)
+    return f"""{EST}, {scored(CP, CW, "x", min_freq)}, {scored("(SELECT part, key, est AS freq FROM e WHERE kind = 'pair')", words, "y", min_freq)},
 xr AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY ppmi DESC, key) AS rank FROM x), yr AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY ppmi DESC, key) AS rank FROM y),
 ks AS (SELECT * FROM (VALUES {ks}) v(k)),
 b AS (SELECT k, part, key, rt, re, coalesce(x.ppmi, 0) AS st, coalesce(y.ppmi, 0) AS se FROM (
@@ -79,20 +80,44 @@ SELECT token, CASE WHEN regexp_matches(low, '^n\.?\s*[°º]\.?$') THEN 'numero'
   WHEN contains(core, '-') AND bare <> core THEN coalesce(ve[bare], bare) ELSE core END AS normal FROM b"""
 
 
-def cleaned() -> str:
+def cleaned(full: bool = False) -> str:
+    """The steps of cleaning; full ones too, where emoticons are what stands between white space, and what follows a digit's mark is put back."""
     address = quoted(ADDRESS.replace("(?iU)", "(?i)"))
-    t = "nfc_normalize(text)"
-    t = f"CASE WHEN regexp_matches({t}, '[@./:]') THEN regexp_replace({t}, {address}, ' ', 'g') ELSE {t} END"
-    for a, b in ((r"(\S)([{\[(])", r"\1 \2"), (r"([}\])])(\S)", r"\1 \2"), ("([A-Za-zªº°])([:;,])", r"\1 \2 "), ("[-.,:;!?]{2,}", " "), (f"[^{ALLOWED['pt']}]", " "), (r"\s+", " "), ("^ | $", "")):
-        t = f"regexp_replace({t}, {quoted(a)}, {quoted(b)}, 'g')"
-    return f"SELECT doc_id, {t} AS text FROM documents"
+    steps = [("t1", f"CASE WHEN regexp_matches(t, '[@./:]') THEN regexp_replace(t, {address}, ' ', 'g') ELSE t END")]
+    if full:
+        steps.append(("t2", f"array_to_string(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: NOT regexp_full_match(x, {quoted(EMOTICON_TOKEN)})), ' ')"))
+    digits = [(rf"(\d)([:;,])([{LETTERS}])", r"\1 \2 \3")] if full else []
+    for a, b in ((r"(\S)([{\[(])", r"\1 \2"), (r"([}\])])(\S)", r"\1 \2"), ("([A-Za-zªº°])([:;,])", r"\1 \2 "), *digits, ("[-.,:;!?]{2,}", " "), (f"[^{ALLOWED['pt']}]", " "), (r"\s+", " "), ("^ | $", "")):
+        steps.append(("x", f"regexp_replace(t, {quoted(a)}, {quoted(b)}, 'g')"))
+    out = "SELECT doc_id, nfc_normalize(text) AS t FROM documents"
+    for _, step in steps:
+        out = f"SELECT doc_id, {step} AS t FROM ({out})"
+    return f"SELECT doc_id, t AS text FROM ({out})"
+
+
+def lemmatized() -> str:
+    every = "(" + ", ".join(map(quoted, ALL)) + ")"
+    held = "(" + ", ".join(map(quoted, sorted({*UNITS.values(), *PROTECTED, *SYMBOLS}))) + ")"
+    return f"""{WORDS_ONLY}, v AS (SELECT part, w FROM w WHERE w NOT IN {every}), n AS (SELECT w, count(*) AS n FROM v GROUP BY w),
+l AS (SELECT a.w AS form, b.w AS lemma FROM n a JOIN n b ON b.w || 's' = a.w WHERE length(a.w) > 3 AND b.n >= a.n),
+m AS (SELECT part, CASE WHEN w IN {held} THEN w ELSE coalesce(lemma, w) END AS key FROM v LEFT JOIN l ON form = w)
+SELECT part, key, count(*) AS freq FROM m WHERE key NOT IN {every} GROUP BY part, key"""
+
+
+def sampled() -> str:
+    """Ranks spread evenly in the logarithm, of at most PLOT points a curve."""
+    return f"""{SERIES}, f AS (SELECT part, kind, row_number() OVER (PARTITION BY part, kind ORDER BY freq DESC) AS rank, freq FROM s),
+z AS (SELECT part, kind, count(*) AS n, CASE WHEN part = 0 THEN {PLOT[1]} ELSE {PLOT[0]} END AS most FROM s GROUP BY part, kind),
+i AS (SELECT part, kind, n, most, unnest(range(most - 1)) AS i FROM z WHERE n > most),
+k AS (SELECT part, kind, floor(pow(10.0::DOUBLE, i * (log10(n - 1) / (most - 1))) * {1 + 1e-12!r}::DOUBLE)::BIGINT + 1 AS rank FROM i UNION SELECT part, kind, 1 FROM z UNION SELECT part, kind, n FROM z UNION SELECT f.part, f.kind, rank FROM f JOIN z ON z.part = f.part AND z.kind = f.kind WHERE n <= most)
+SELECT f.* FROM f SEMI JOIN k ON k.part = f.part AND k.kind = f.kind AND k.rank = f.rank"""
 
 
 def spread(c: str, n: str) -> str:
     return f"round(avg({c}), 6) AS {n}_mean, round(coalesce(stddev_samp({c}), 0), 6) AS {n}_std"
 
 
-DOCS = "d AS (SELECT part, doc_id, len(tokens)::INT AS tokens, length(array_to_string(tokens, ';'))::INT AS chars, (greatest(len(tokens) - 1, 0) + greatest(len(tokens) - 2, 0))::INT AS pairs FROM t WHERE len(tokens) > 0)"
+DOCS = "d AS (SELECT part, doc_id, len(tokens)::INT AS tokens, length(array_to_string(tokens, ';'))::INT AS chars, (" + " + ".join(f"greatest(len(tokens) - {d}, 0)" for d in range(1, CONFIG.window)) + ")::INT AS pairs FROM t WHERE len(tokens) > 0)"
 BY_PART = f"""{BASE}, {DOCS},
 g AS (SELECT part, count(*) FILTER (kind = 'word') AS distinct_words, count(*) FILTER (kind = 'pair') AS distinct_pairs FROM c GROUP BY part),
 s AS (SELECT part, count(*) AS docs, sum(tokens)::BIGINT AS words, sum(pairs)::BIGINT AS pairs, {spread("tokens", "tokens")}, {spread("chars", "chars")} FROM d GROUP BY part),
@@ -101,7 +126,9 @@ z AS (SELECT s.*, distinct_words, distinct_pairs, words + pairs AS total, distin
 SQL: dict[str, str] = {
     "corpus_parts": r"WITH s AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents), r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM s WHERE text <> '') SELECT (least(k // (n // 10), 9) + 1)::INT AS part, doc_id, regexp_replace(text, '[\r\n]', ' ', 'g') AS text FROM r",
     "clean_text": cleaned(),
+    "clean_text_full": cleaned(True),
     "normalize_tokens": normal(),
+    "lemmatized_counts": lemmatized(),
     "stopword_filter": f"{WORDS_ONLY} SELECT part, w AS key, count(*) AS freq FROM w WHERE w NOT IN {STOP} GROUP BY part, w",
     "tokenization_stats": f"WITH {TOKENS.replace('t AS', 't0 AS', 1)}, {KEPT} SELECT part, count(*) AS docs_in, count(*) FILTER (len(tokens) > 0) AS docs_out, count(*) FILTER (len(tokens) = 0) AS docs_empty, sum(len(tokens))::BIGINT AS tokens, round((1 - count(*) FILTER (len(tokens) > 0) / count(*)::DOUBLE) * 100, 6) AS lost_percent FROM t GROUP BY part",
     "strategy_stats": f"WITH {TOKENS.replace('t AS', 't0 AS', 1)}, {KEPT} {strategies()}",
@@ -119,9 +146,14 @@ SELECT * FROM a, u, y""",
     "doc_stats": f"WITH {TOKENS}, {DOCS} SELECT * FROM d",
     "zipf_rank": f"{SERIES} SELECT part, kind, row_number() OVER (PARTITION BY part, kind ORDER BY freq DESC) AS rank, freq FROM s",
     "zipf_ccdf": f"{SERIES}, h AS (SELECT part, kind, freq, count(*) AS n FROM s GROUP BY ALL) SELECT part, kind, freq, round((sum(n) OVER (PARTITION BY part, kind ORDER BY freq DESC ROWS UNBOUNDED PRECEDING))::DOUBLE / (sum(n) OVER (PARTITION BY part, kind))::DOUBLE, 6) AS p FROM h",
-    "zipf_ideal": f"{WORDS_ONLY}, f AS (SELECT w, count(*) AS freq FROM w GROUP BY w), r AS (SELECT freq, row_number() OVER (ORDER BY freq DESC) AS rank, max(freq) OVER () AS top FROM f) SELECT 0 AS part, 'word' AS kind, rank, top::DOUBLE / rank AS ideal, 1.0::DOUBLE / freq AS ideal_ccdf FROM r",
+    "zipf_ideal": f"{SERIES}, r AS (SELECT part, kind, freq, row_number() OVER (PARTITION BY part, kind ORDER BY freq DESC) AS rank, max(freq) OVER (PARTITION BY part, kind) AS top FROM s) SELECT part, kind, rank, top::DOUBLE / rank AS ideal_rank, 1.0::DOUBLE / freq AS ideal_ccdf FROM r",
+    "zipf_sample": sampled(),
     "zipf_top20": f"{BASE}, s AS (SELECT key, sum(freq)::BIGINT AS freq FROM c GROUP BY key), r AS (SELECT *, row_number() OVER (ORDER BY freq DESC, key)::INT AS rank, sum(freq) OVER () AS total FROM s) SELECT key, freq, round(freq * 100 / total::DOUBLE, 6) AS percent, CASE WHEN contains(key, ' ') THEN 'par' ELSE 'pal' END AS type, rank FROM r WHERE rank <= 20",
     "ppmi_scores": f"{BASE}, {scored(CP, CW, 'x', 2)} SELECT part, key, ppmi FROM x",
+    "ppmi_scores_all": f"{EXACT} SELECT part, key, ppmi FROM x",
+    "ppmi_recall_spearman_all": f"{compared(False, KS, 1)} SELECT part, k, round(recall, 6) AS recall, round(spearman, 6) AS spearman FROM f",
+    "ppmi_recall_exact_words_all": f"{compared(True, KS, 1)} SELECT 'CMS' AS structure, k, round(avg(recall), 6) AS recall_mean, round(avg(spearman), 6) AS spearman_mean FROM f GROUP BY k",
+    "sketch_info": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quoted, (r["structure"], r["name"], r["description"], ", ".join(r["parameters"]), r["defaults"]))) + ")" for r in info()) + ") v(structure, name, description, parameters, defaults)",
     "ppmi_minfreq": f"{BASE}, {scored(CP, CW, 'x', MIN_FREQ)} SELECT part, w1, w2, ppmi FROM x",
     "ppmi_topk": f"{EXACT}, r AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY ppmi DESC, key)::INT AS rank, key, ppmi FROM x) SELECT * FROM r WHERE rank <= {TOP}",
     "cms_linear_cells": f"{CELLS} SELECT * FROM cells",

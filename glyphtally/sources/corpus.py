@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import random
+import tempfile
+import uuid
+from array import array
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +21,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of the files at a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs over all cores, where its scan has hardly more splits than there are cores: a small file is one row group, and so one task's.
+
+    A large table has more splits than that and stays as it is; no text moves there.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() > 2 * cores else docs.repartition(cores, key)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one that executors share; a temporary one only in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared or tempfile.gettempdir()}/glyphtally-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df written to a new shared folder and read back: for what is read more than once and costs more than its rows."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def strip(text: Column) -> Column:
     """text without white space of any kind at its ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -73,20 +108,31 @@ def seeded_order(docs: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFr
     """docs with position, the row's place in a shuffle that a Mersenne twister of that seed makes of them in key order.
 
     The permutation depends on the number of rows alone. It is made in the driver, so it is meant for corpora whose ids fit
-    there; shuffled() is the one without that limit.
+    there (100 million take 1 GB); shuffled() is the one without that limit. Ranks come from a range shuffle of the keys and
+    a running number in each range; no row is numbered on one machine. Keys are unique; rows without one are left out.
     """
-    keys = docs.select(key).orderBy(key)
-    n = keys.count()
+    spark = docs.sparkSession
+    n_tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = docs.select(F.col(key).alias("_k")).where("_k IS NOT NULL")
+    ranges = own.repartitionByRange(n_tasks, "_k").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.min("_k").alias("least")).collect()
+    ranges = sorted(ranges, key=lambda r: r["least"])
+    n, starts = 0, []
+    for r in ranges:
+        starts.append(n)
+        n += r["n"]
     order = list(range(n))
     random.seed(seed)
     random.shuffle(order)
-    place = [0] * n
+    place = array("q", bytes(8 * n))
     for k, i in enumerate(order):
         place[i] = k
-    spark = docs.sparkSession
-    ranked = keys.withColumn("_rank", F.row_number().over(Window.orderBy(key)) - 1)
-    places = spark.createDataFrame(list(enumerate(place)), "_rank int, position long")
-    return docs.join(ranked.join(places, "_rank").drop("_rank"), key)
+    at = F.lit(0)
+    for k, r in enumerate(ranges[1:], 1):
+        at = F.when(F.col("_k") >= F.lit(r["least"]), k).otherwise(at)
+    begin = F.get(F.array(*[F.lit(x).cast("long") for x in starts or [0]]), F.col("_p"))
+    ranked = own.withColumn("_p", at).select("_k", (F.row_number().over(Window.partitionBy("_p").orderBy("_k")) - 1 + begin).alias("_rank"))
+    places = spark.createDataFrame(pd.DataFrame({"_rank": np.arange(n), "position": np.array(place, np.int64)}), "_rank long, position long")
+    return docs.join(ranked.join(places, "_rank").select("_k", "position"), F.col(key) == F.col("_k")).drop("_k")
 
 
 def shuffled(docs: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame:
@@ -148,6 +194,27 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
+def ranking_names(min_freq: int = 1) -> tuple[str, str]:
+    """Names of the tables of rankings, by part and over parts; a floor of more than one occurrence is in the name."""
+    suffix = f"_minfreq_{min_freq}" if min_freq > 1 else ""
+    return f"ranking_ppmi_by_part{suffix}.csv", f"ranking_ppmi_mean{suffix}.csv"
+
+
+def write_rankings(by_part: DataFrame, mean: DataFrame, folder: str, min_freq: int = 1, mode: str = "overwrite") -> None:
+    for df, name in zip((by_part, mean), ranking_names(min_freq)):
+        write_table(df, f"{folder}/{name}", mode)
+
+
+def read_rankings(spark: SparkSession, folder: str, min_freq: int = 1) -> DataFrame:
+    """The ranking by part that write_rankings() wrote, for plots without a new run; stops where there is none."""
+    return read_table(spark, f"{folder}/{ranking_names(min_freq)[0]}", "part int, structure string, k int, recall double, spearman double")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
     """CSV with a header, for results such as those of ppmi.compare(); read_table() reads it again."""
     save(df, path, "csv", mode, ())

@@ -1,6 +1,8 @@
 import math
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,44 @@ def test_parts(spark, n, sizes):
     assert [c[i + 1] for i in range(10)] == sizes
 
 
+def test_seeded_order(spark):
+    d = spark.createDataFrame([(i * 7, "x") for i in range(101)], "doc_id long, text string").repartition(5)
+    want = list(range(101))
+    random.seed(42)
+    random.shuffle(want)
+    got = {r.position: r.doc_id for r in corpus.seeded_order(d).collect()}
+    assert [got[k] // 7 for k in range(101)] == want
+    assert corpus.seeded_order(d.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in corpus.shuffled(d).collect()) == [i * 7 for i in range(101)]
+
+
+def test_spread_and_sizes(spark, sf):
+    d = corpus.spread(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert d.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and d.count() == 200
+    many = d.repartition(50)
+    assert corpus.spread(many) is many
+    assert Config().parts_of(corpus.size_of(spark, f"{sf}/documents.parquet")) == 10 and Config().parts_of(100 << 40) == 409_600
+
+
+def test_top_k_in_slices(spark):
+    rng = random.Random(3)
+    rows = [(p, f"k{i}", rng.randint(0, 50) / 10) for p in (1, 2) for i in range(3000)]
+    d = spark.createDataFrame(rows, "part int, key string, ppmi double")
+    got = {(r.part, r.rank): r.key for r in ppmi.top_k(d, ppmi.RANK_PUSHED + 500).collect()}
+    for p in (1, 2):
+        want = sorted((r for r in rows if r[0] == p), key=lambda r: (-r[2], r[1]))[: ppmi.RANK_PUSHED + 500]
+        assert [got[p, k + 1] for k in range(len(want))] == [r[1] for r in want]
+
+
+def test_rankings_read_back(spark, tmp_path):
+    r = spark.createDataFrame([(1, "s", 10, 0.5, 0.25)], "part int, structure string, k int, recall double, spearman double")
+    corpus.write_rankings(r, ppmi.compare_mean(r), str(tmp_path), 5)
+    assert (tmp_path / "ranking_ppmi_by_part_minfreq_5.csv").exists() and (tmp_path / "ranking_ppmi_mean_minfreq_5.csv").exists()
+    assert corpus.read_rankings(spark, str(tmp_path), 5).collect() == r.collect()
+    with pytest.raises(Exception, match="ranking_ppmi_by_part.csv"):
+        corpus.read_rankings(spark, str(tmp_path)).collect()
+
+
 def test_round_trips(spark, tmp_path):
     d = spark.createDataFrame([(1, " a\nb "), (2, "c\rd"), (2, " "), (1, None)], "part int, text string")
     corpus.write_parts(d, f"{tmp_path}/p")
@@ -66,7 +106,14 @@ def test_zipf(spark):
     c = spark.createDataFrame([(1, "word", k, f) for k, f in zip("abcd", (5, 2, 2, 1))], "part int, kind string, key string, freq long")
     assert [(r.rank, r.freq) for r in zipf.rank_frequency(c).orderBy("rank").collect()] == [(1, 5), (2, 2), (3, 2), (4, 1)]
     assert {r.freq: r.p for r in zipf.ccdf(c).collect()} == {5: 0.25, 2: 0.75, 1: 1.0}
-    assert zipf.log_ranks(5, 10) == [1, 2, 3, 4, 5] and zipf.log_ranks(1000, 10)[:2] == [1, 2] and len(zipf.log_ranks(10**6, 50)) <= 51
+    blocks = c.withColumn("freq", F.lit(7).cast("long"))
+    assert sorted((r.rank, r.freq) for r in zipf.rank_frequency(blocks, block=3).collect()) == [(k, 7) for k in (1, 2, 3, 4)]
+    ranks = lambda n, most: spark.range(1).select(zipf.log_ranks(F.lit(n).cast("long"), F.lit(most))).first()[0]
+    assert ranks(5, 10) == [1, 2, 3, 4, 5] and ranks(1000, 10)[:2] == [1, 2] and ranks(1000, 10)[-1] == 1000 and len(ranks(10**6, 50)) <= 51
+    many = np.unique(np.insert(np.logspace(0, np.log10(10**6 - 1), 500, dtype=int), 0, 0)) + 1
+    assert set(many.tolist()) - set(ranks(10**6, 500)) <= {10**6 - 1, 10**6}  # the last point may fall short of its number there
+    got = zipf.sample(zipf.rank_frequency(blocks), 2).collect()
+    assert sorted(r.rank for r in got) == [1, 2, 4]
     assert [r.key for r in ngrams.top(c.select("key", "freq"), 2).orderBy("rank").collect()] == ["a", "b"]
 
 
