@@ -26,25 +26,27 @@ def train(feats: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_feats: i
     # tokens in like surroundings have the same features: each distinct row is scored once
     rows, at = np.unique(feats.reshape(-1, k), axis=0, return_inverse=True)
     at = at.reshape(-1)
+    on = mask.T  # sequences come last, so that sums over states run along them
+
+    def total(x):
+        """The logarithm of the sum of exponents over the first axis."""
+        m = x.max(0)
+        return m + np.log(np.exp(x - m).sum(0))
+
     for step in range(1, steps + 1):
-        e = scores(w, rows)[at].reshape(n, t, n_states)
+        e = np.ascontiguousarray(scores(w, rows)[at].reshape(n, t, n_states).transpose(1, 2, 0))
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0]
+        alpha[0] = e[0]
         for i in range(1, t):
-            x = alpha[:, i - 1, :, None] + tr[None]
-            m = x.max(1)
-            alpha[:, i] = np.where(mask[:, i, None], m + np.log(np.exp(x - m[:, None]).sum(1)) + e[:, i], alpha[:, i - 1])
+            alpha[i] = np.where(on[i], total(alpha[i - 1][:, None] + tr[:, :, None]) + e[i], alpha[i - 1])
         for i in range(t - 2, -1, -1):
-            x = tr[None] + (e[:, i + 1] + beta[:, i + 1])[:, None, :]
-            m = x.max(2)
-            beta[:, i] = np.where(mask[:, i + 1, None], m + np.log(np.exp(x - m[..., None]).sum(2)), 0)
-        z = alpha[:, -1].max(1)
-        z = z + np.log(np.exp(alpha[:, -1] - z[:, None]).sum(1))
-        post = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
-        both = np.exp(alpha[:, :-1, :, None] + tr[None, None] + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * pairs[..., None, None]
+            beta[i] = np.where(on[i + 1], total(tr.T[:, :, None] + (e[i + 1] + beta[i + 1])[:, None]), 0)
+        z = total(alpha[-1])
+        post = np.exp(alpha + beta - z).transpose(2, 0, 1) * mask[..., None]
+        both = np.exp(alpha[:-1, :, None] + tr[None, :, :, None] + (e + beta)[1:, None] - z) * on[1:, None, None]
         diff = ((gold - post) / n).reshape(-1, n_states)
         gw = np.stack([sum(np.bincount(rows[:, j], x, n_feats) for j in range(k)) for x in (np.bincount(at, diff[:, s], len(rows)) for s in range(n_states))], 1) - l2 * w
-        gt = (gold_tr - both.sum((0, 1))) / n - l2 * tr
+        gt = (gold_tr - both.sum((0, 3))) / n - l2 * tr
         for x, g, a, b in ((w, gw, 0, 1), (tr, gt, 2, 3)):
             moments[a] = 0.9 * moments[a] + 0.1 * g
             moments[b] = 0.999 * moments[b] + 0.001 * g * g
