@@ -70,9 +70,10 @@ def without(tokens: Column, stop: list[str] = ()) -> Column:
 
 def minimal(text: Column, lang: str = "pt", compose: bool = True) -> Column:
     """The least that is done to text: cleaned and tokenized, in lower case, without punctuation."""
+    from .affixes import tokenize as split
     from .cleaning import clean
 
-    return F.transform(F.filter(tokenize(clean(text, lang, compose)), lambda t: ~is_punct(t)), lambda t: F.lower(t))
+    return F.transform(F.filter(split(clean(text, lang, compose)), lambda t: ~is_punct(t)), lambda t: F.lower(t))
 
 
 def plural_lemmas(docs: DataFrame) -> DataFrame:
@@ -102,11 +103,13 @@ def lemmatize(docs: DataFrame, lemmas: DataFrame | None = None, stop: list[str]
     return out.withColumn("tokens", without(F.coalesce("tokens", F.array().cast("array<string>")), stop))
 
 
-def process(docs: DataFrame, lang: str = "pt", stop: list[str] = (), lemmas: DataFrame | None = None) -> DataFrame:
-    """docs with tokens: cleaned, tokenized, normalized, lemmatized."""
+def process(docs: DataFrame, lang: str = "pt", stop: list[str] = (), lemmas: DataFrame | None = None, affixes: bool = True) -> DataFrame:
+    """docs with tokens: cleaned, tokenized, normalized, lemmatized. affixes: by affix rules; else by tokenize(), which stays in the JVM."""
+    from .affixes import tokenize as split
     from .cleaning import clean
 
-    return lemmatize(docs.withColumn("tokens", normalized(tokenize(clean(F.col("text"), lang)), stop)), lemmas, stop)
+    found = (split if affixes else tokenize)(clean(F.col("text"), lang))
+    return lemmatize(docs.withColumn("tokens", normalized(found, stop)), lemmas, stop)
 
 
 def timed_stats(spark, make, path: str) -> tuple[DataFrame, float]:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from glyphtally.functions import cleaning, tokens
+from glyphtally.functions import affixes, cleaning, tokens
 from glyphtally.functions.lexicon import ABBREVIATIONS, UNITS
 
 
@@ -39,8 +39,29 @@ def test_tokens(spark):
     assert one(spark, lambda t: tokens.normalized(tokens.tokenize(t), ["o", "a"]), "O preço, a 10 % !") == ["preço", "10", "%"]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("O Dr. Silva, Ph.D., mora", "O|Dr|.|Silva|,|Ph.D.|,|mora"), ("a 3,5 km n.º 12", "a|3,5|km|n.º|12"), ("n . º 5 e n. 7, n.8", "n . º|5|e|n.|7|,|n.8"), ("n. de n .", "n|.|de|n|."), ("R$ 50 R$50 US$5 50% 50€", "R$|50|R$|50|US$|5|50|%|50|€"),
+        ("guarda-chuva (U.S.A.)", "guarda-chuva|(|U.S.A.|)"), ("10km/h e/ou km/h 12m²", "10|km/h|e|/|ou|km|/|h|12|m²"), ("fim... casa- -casa vê-lo", "fim|...|casa-|-casa|vê-lo"), ("a.B s.a. AB. x.", "a|.|B|s.a|.|AB|.|x|."), ("18:23 3;4 tom:um a,b 1,2", "18:23|3;4|tom|:|um|a|,|b|1,2"),
+        ("((a)) [b]!? _c_", "(|(|a|)|)|[|b|]|!|?|_|c|_"), ("5°C. 3º B.Sc. b.sc. M.Sc", "5°C|.|3º|B.Sc.|b.sc.|M.Sc"), ("+55 x+1 3-4 1+2", "+55|x+1|3-4|1|+|2"), ("", ""), ("  ", ""),
+    ],
+)
+def test_affixes(text, want):
+    assert "|".join(affixes.tokens(text)) == want
+
+
+def test_process(spark):
+    """Cleaning, tokens, normal forms and stop words, end to end, worked out by hand."""
+    d = spark.createDataFrame([(1, 1, "O Prof. Silva (https://a.b/c) viu-os a 10km/h :) , 50% de n.º 3!"), (2, 1, "... !!"), (3, 1, None)], "doc_id long, part int, text string")
+    out = {r.doc_id: r.tokens for r in tokens.process(d, "pt", ["o", "a", "de"]).collect()}
+    assert out == {1: ["professor", "silva", "viu", "10", "quilometro_hora" if "km/h" in UNITS else "km/h", "50", "%", "numero", "3"], 2: [], 3: out[3]} and not out[3]
+    plain = {r.doc_id: r.tokens for r in tokens.process(d, "pt", ["o", "a", "de"], affixes=False).collect()}
+    assert plain[1][:3] == ["professor", "silva", "viu"] and plain[2] == []
+
+
 def test_minimal_and_plurals(spark):
-    assert one(spark, tokens.minimal, "O Dr. viu 3,5 km² (sim)!") == ["o", "dr.", "viu", "3,5", "km²", "sim"]
+    assert one(spark, tokens.minimal, "O Dr. viu 3,5 km² (sim)!") == ["o", "dr", "viu", "3,5", "km²", "sim"]
     d = spark.createDataFrame([(1, "casa casa casas as a os gas mes mesas".split()), (2, "gatos gato gatos".split())], "doc_id long, tokens array<string>")
     assert sorted(map(tuple, tokens.plural_lemmas(d).collect())) == [("casas", "casa")]
 
