@@ -118,8 +118,10 @@ def strategy_stats(spark, sf_dir):
 def strategy_stats_full(spark, sf_dir):
     """The least, the least without stop words, and all that is done to text; the first two are cleaned and tokenized like the third."""
     t = texts(spark, sf_dir)
-    d = t.select("doc_id", "part", tokens.minimal(F.col("text"), "any").alias("tokens"))
-    stats = ngrams.strategy_stats({"minima": d, "minima_sw": d.withColumn("tokens", tokens.without(F.col("tokens"), ALL)), "completa": tokens.process(t, "any", ALL)})
+    # each text is cleaned and tokenized once; what is counted reads the tokens
+    d = corpus.materialized(t.select("doc_id", "part", tokens.minimal(F.col("text"), "any").alias("tokens")))
+    full = corpus.materialized(tokens.process(t, "any", ALL).select("doc_id", "part", "tokens"))
+    stats = ngrams.strategy_stats({"minima": d, "minima_sw": d.withColumn("tokens", tokens.without(F.col("tokens"), ALL)), "completa": full})
     return rounded(stats.join(ngrams.relative_to_first(stats, "minima"), ["strategy", "part"]))
 
 
