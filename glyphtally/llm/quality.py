@@ -76,7 +76,7 @@ def clean_lines(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
     blanks = " \t\r"
     may, judged, result = fresh(docs, "_may"), fresh(docs, "_judged"), fresh(docs, "_result")
     low = F.lower("text")
-    flags = F.struct(*[reduce(lambda a, b: a | b, [low.contains(x) for x in xs]).alias(k) for k, xs in HINTS.items()], F.col("text").rlike(UNSPACED).alias("unspaced"))
+    flags = F.struct(*[reduce(lambda a, b: a | b, [low.contains(x) for x in xs]).alias(k) for k, xs in HINTS.items()], ((F.octet_length("text") > F.length("text")) & F.col("text").rlike(UNSPACED)).alias("unspaced"))
     flag = {k: F.col(may)[k] for k in HINTS}
 
     # each step is a pass of its own over the lines: a lambda's variable is computed once, an expression wherever it is used
