@@ -242,11 +242,16 @@ def test_pipeline_is_its_stages(spark, sf, words):
     check_bins(bins, [(r.doc_id, r.text) for r in docs.collect()], packing.CAPACITY, words)
 
 
-def test_pipeline_messy(spark):
+def test_pipeline_messy(spark, words):
+    """Each stage keeps the columns it got, whatever their names, and the bins hold every token of what the stages kept."""
     docs = messy.table(spark)
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, "")
-    assert all(b.used <= packing.CAPACITY for b in docs.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs.columns, stage(spark, docs, "")
+        assert docs.columns == before, name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    kept = docs.collect()
+    assert {r.doc_id for r in kept} <= {1, 6, 8, 9, None} and len({r.text for r in kept}) > 1
+    check_bins(corpus_pipeline.STAGES[-1][1](spark, docs, "").collect(), [(r.doc_id, r.text) for r in kept], packing.CAPACITY, words)
     empty = messy.empty(spark)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "")
