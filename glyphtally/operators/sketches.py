@@ -378,6 +378,8 @@ class CMTS(Sketch):
         self.height = leaves.bit_length()
         self.nodes = 2 * leaves - 1
         self.level = [2 * leaves - 2 * (leaves >> k) for k in range(self.height)]
+        #: A leaf's nodes from itself to the root of its tree.
+        self.path = [[self.level[k] + (leaf >> k) for k in range(self.height)] for leaf in range(leaves)]
         # one byte a node: 1 counts, 2 is the barrier
         self.tree = [bytearray(width * self.nodes + width) for _ in range(depth)]  # a node of padding a tree
         self.spire = [array("I", bytes(4 * width)) for _ in range(depth)]
@@ -396,38 +398,72 @@ class CMTS(Sketch):
 
     def get(self, row: int, at: int) -> int:
         t, leaf = divmod(at, self.leaves)
-        tree, base = self.tree[row], t * self.nodes
-        b = c = 0
-        for k in range(self.height):
-            x = tree[base + self.level[k] + (leaf >> k)]
-            c |= (x & 1) << k
-            if not x & 2:
-                break
-            b += 1
-        if b == self.height:
-            c += self.spire[row][t] << b
-        return c + 2 * (2**b - 1)
+        tree, base, c, bit = self.tree[row], t * self.nodes, 0, 1
+        for i in self.path[leaf]:  # bit is two to the number of barriers so far
+            x = tree[base + i]
+            if x & 1:
+                c += bit
+            if x < 2:
+                return c + 2 * (bit - 1)
+            bit += bit
+        return c + (self.spire[row][t] << self.height) + 2 * (bit - 1)
 
     def put(self, row: int, at: int, v: int) -> None:
         t, leaf = divmod(at, self.leaves)
-        tree, base = self.tree[row], t * self.nodes
+        tree, base, path = self.tree[row], t * self.nodes, self.path[leaf]
         nb = min(self.height, ((v + 2) // 4).bit_length())
-        nc = v - 2 * (2**nb - 1)
-        for k in range(min(nb + 1, self.height)):
-            i = base + self.level[k] + (leaf >> k)
-            tree[i] = (tree[i] & 2) | (nc >> k) & 1 | (2 if k < nb else 0)
-        if nb == self.height:
-            self.spire[row][t] = max(self.spire[row][t], min(U32, nc >> self.height))
+        nc = v - 2 * ((1 << nb) - 1)
+        for i in path[:nb]:
+            tree[base + i] = nc & 1 | 2
+            nc >>= 1
+        if nb < self.height:
+            i = base + path[nb]
+            tree[i] = tree[i] & 2 | nc & 1
+        else:
+            self.spire[row][t] = max(self.spire[row][t], min(U32, nc))
 
     def insert(self, at: np.ndarray) -> None:
-        rows = range(self.depth)
-        for col in zip(*at.tolist()):
-            seen = [self.get(r, i) for r, i in zip(rows, col)]
-            m = min(seen)
-            if m < U32:
-                for r, i, x in zip(rows, col, seen):
-                    if x == m:
-                        self.put(r, i, m + 1)
+        rows, raw, get, put = range(self.depth), at.tolist(), self.get, self.put
+        if self.height < 3:
+            for col in zip(*raw):
+                seen = [get(r, i) for r, i in zip(rows, col)]
+                m = min(seen)
+                if m < U32:
+                    for r, i, x in zip(rows, col, seen):
+                        if x == m:
+                            put(r, i, m + 1)
+            return
+        # most counters are small: values under 6 live on the two lowest levels, and are read and written here
+        trees, level = self.tree, self.level[1]
+        first = (at // self.leaves * self.nodes + at % self.leaves).tolist()
+        second = (at // self.leaves * self.nodes + level + (at % self.leaves >> 1)).tolist()
+        for j in range(at.shape[1]):
+            seen, m = [], U32
+            for r in rows:
+                tree = trees[r]
+                x = tree[first[r][j]]
+                if not x & 2:
+                    v = x & 1
+                else:
+                    y = tree[second[r][j]]
+                    v = get(r, raw[r][j]) if y & 2 else 2 + (x & 1) + 2 * (y & 1)
+                seen.append(v)
+                if v < m:
+                    m = v
+            if m >= U32:
+                continue
+            for r in rows:
+                if seen[r] != m:
+                    continue
+                if m == 0:
+                    i = first[r][j]
+                    trees[r][i] = trees[r][i] & 2 | 1
+                elif m < 5:
+                    i, c, tree = second[r][j], m - 1, trees[r]
+                    tree[first[r][j]] = c & 1 | 2
+                    tree[i] = tree[i] & 2 | c >> 1
+                else:
+                    put(r, raw[r][j], m + 1)
 
     def read(self, at: np.ndarray) -> np.ndarray:
         return np.array([[self.get(r, i) for i in row] for r, row in enumerate(at.tolist())]).min(0).astype(np.float64)

@@ -1,4 +1,5 @@
 import random
+import struct
 from collections import Counter
 
 import numpy as np
@@ -241,6 +242,32 @@ def test_wide_sketch_inserts_at_once_what_shares_no_cell():
     assert a.to_bytes() == b.to_bytes() and max(a.rows[0]) > 100
 
 
+def test_byte_formats_by_hand():
+    """Headers, and counters where the format has them, packed here bit by bit."""
+    s = CMS(2, 2, 7)
+    for r, c in ((0, 5), (1, 9)):
+        s.rows[r][1] = c
+    assert s.to_bytes() == struct.pack("=IBQ", 2, 2, 7) + struct.pack("<4I", 0, 5, 0, 9)
+    log = CML8HS(1, 2, 1, 1.5, 3)
+    log.top.rows[0][0], log.rows[0][2] = 300, 8
+    assert log.to_bytes() == struct.pack("=IBBdQ", 1, 2, 1, 1.5, 3) + struct.pack("<I", 300) + bytes([0, 0, 8, 0])
+    assert CML8S(3, 1, 2.0, 5).to_bytes() == struct.pack("=IBdQ", 3, 1, 2.0, 5) + bytes(3)
+    layers = CL(2, 3, 4, 1, 9)  # 2 of 32 bits, 8 of 16, 32 of 8
+    layers.rows[0][1], layers.rows[1][3], layers.rows[2][30] = 2**31, 65535, 200
+    words = [0, 2**31] + [0] * 4 + [0] * 8
+    words[2 + 3 // 2] |= 65535 << 16 * (3 % 2)
+    words[6 + 30 // 4] |= 200 << 8 * (30 % 4)
+    assert layers.to_bytes() == struct.pack("=IBBBQ", 2, 3, 4, 1, 9) + struct.pack("<14I", *words)
+    tree = CMTS(2, 1, 4, 1)  # height 3, 7 nodes of two bits and no padding but at the end
+    tree.put(0, 4 + 2, 7)  # second tree, leaf 2: value 7 has two barriers and the rest 1
+    bits = [0] * 28
+    for level, node, count, barrier in ((0, 2, 1, 1), (1, 1, 0, 1), (2, 0, 0, 0)):
+        at = 14 + {0: 0, 1: 8, 2: 12}[level] + 2 * node
+        bits[at], bits[at + 1] = count, barrier
+    want = bytes(sum(b << k for k, b in enumerate(bits[i : i + 8])) for i in range(0, 28, 8))
+    assert tree.to_bytes() == struct.pack("=IBBQ", 2, 1, 4, 1) + want + struct.pack("<2I", 0, 0)
+
+
 # The 64-bit hash in plain integers, from its definition.
 M = 2**64 - 1
 H0, H1, H2, H3, HM = 0xC3A5C85C97CB3127, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0x9DDFEA08EB382D69
