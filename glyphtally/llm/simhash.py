@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ from .common import blocks, by_bucket, components, cut, fresh, small, table, tex
 BITS, DISTANCE, PIVOTS, FIRST_PIVOTS, SEED = 128, 18, 128, 16, 7
 #: Least chance that a pair at the largest distance shares a bucket; least sampled bits; most fingerprints of a bucket in one task; of one in which all pairs are tried at once.
 RECALL, LEAST_SAMPLED, BUCKET, FEW = 0.9, 16, 4096, 16
+#: In the search across groups: most and least fingerprints of a block; pairs that are looked at at once; members of a cell from which those of one's own group are passed over.
+BLOCK, LEAST_BLOCK, PAIRS, CELL = 1 << 18, 1000, 1 << 20, 64
 
 
 def plan(n: int, distance: int = DISTANCE, recall: float = RECALL) -> tuple[int, int]:
@@ -169,8 +173,8 @@ def searching(distance: int, most: int | None):
     return run
 
 
-def near_edges(fps: DataFrame, distance: int = DISTANCE, tables: int | None = None, sampled: int | None = None, most: int = BUCKET) -> DataFrame:
-    """(a, b) ids of distinct fingerprints (id, hi, lo); their components are those of the pairs within distance that share a bucket."""
+def bucket_pairs(fps: DataFrame, distance: int = DISTANCE, tables: int | None = None, sampled: int | None = None, most: int = BUCKET) -> DataFrame:
+    """(a, b) ids of distinct fingerprints (id, hi, lo); their components are those of the pairs within distance that share a bucket of sampled bits."""
     if tables is None or sampled is None:
         tables, sampled = plan(fps.count(), distance)
     rng = np.random.default_rng(SEED + 2)
@@ -198,6 +202,117 @@ def near_edges(fps: DataFrame, distance: int = DISTANCE, tables: int | None = No
     return edges.union(again.select("a", "b").distinct())
 
 
+@lru_cache
+def masks(width: int, radius: int) -> np.ndarray:
+    """Numbers of so many bits of which at most radius are 1."""
+    return np.array([sum(1 << k for k in c) for r in range(radius + 1) for c in combinations(range(width), r)], np.int64)
+
+
+def pieces(distance: int, n: int) -> list[tuple[np.ndarray, int]]:
+    """(bits, radius) of each piece of a fingerprint: two within distance are within the radius in one piece at least.
+
+    Radii and ones of them add up to distance + 1, so two that are over the radius in all pieces are over distance.
+    """
+    return [(bits, (distance + 1 + k) // n - 1) for k, bits in enumerate(np.array_split(np.arange(BITS), n)) if distance + 1 + k >= n]
+
+
+@lru_cache
+def best_pieces(members: int, distance: int) -> int:
+    """In how many pieces a search among so many members takes the least time: look-ups take 1.5 times that of a pair, and cells hold twice what chance would give them."""
+
+    def cost(n: int) -> float:
+        looked = [(sum(math.comb(len(bits), k) for k in range(radius + 1)), len(bits)) for bits, radius in pieces(distance, n)]
+        return sum(1.5 * m + 2 * members * m / 2**width for m, width in looked)
+
+    return min(range(6, 17), key=cost)
+
+
+def spans(rows: np.ndarray, first: np.ndarray, size: np.ndarray):
+    """(i, j), some PAIRS at a time: each of rows with first, first + 1 and so on, size of them."""
+    end, k = np.cumsum(size), 0
+    while k < len(rows):
+        until = max(k + 1, int(np.searchsorted(end, end[k] - size[k] + PAIRS, "right")))
+        n = size[k:until]
+        yield np.repeat(rows[k:until], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[k:until], n)
+        k = until
+
+
+def across(a: np.ndarray, root_a: np.ndarray, b: np.ndarray, root_b: np.ndarray, distance: int = DISTANCE, n: int | None = None) -> np.ndarray:
+    """(pairs, 2) roots, the less first, each pair once: those of a member of a and one of b, (rows, 2) uint64, that lie within distance.
+
+    Members of b go by the value of a piece; a's look up every value within the radius of their own. Each pair within
+    distance comes up in one piece at least, so none is left out. Pairs of one root are passed over.
+    """
+    roots, rank = np.unique(np.concatenate([root_a, root_b]), return_inverse=True)
+    bits_a, bits_b = (np.unpackbits(x.view(np.uint8), axis=1) for x in (a, b))
+    found = [np.zeros(0, np.int64)]
+    for bits, radius in pieces(distance, n or best_pieces(len(b), distance)):
+        weights = 2.0 ** np.arange(len(bits))
+        ka, kb = ((x[:, bits] @ weights).astype(np.int64) for x in (bits_a, bits_b))
+        at_a, at_b = np.argsort(ka, kind="stable"), np.lexsort((rank[len(a) :], kb))
+        ka, kb, ra, rb = ka[at_a], kb[at_b], rank[: len(a)][at_a], rank[len(a) :][at_b]
+        (ha, la), (hb, lb) = np.ascontiguousarray(a[at_a].T), np.ascontiguousarray(b[at_b].T)
+        cell = np.concatenate([[0], np.cumsum(np.bincount(kb, minlength=1 << len(bits)))])
+        by_root = kb * len(roots) + rb
+        for mask in masks(len(bits), radius):
+            key = ka ^ mask
+            first, end = cell[key], cell[key + 1]
+            few, many = np.flatnonzero((end > first) & (end - first <= CELL)), np.flatnonzero(end - first > CELL)
+            own = key[many] * len(roots) + ra[many]
+            own, past = np.searchsorted(by_root, own, "left"), np.searchsorted(by_root, own, "right")
+            rows, start = np.concatenate([few, many, many]), np.concatenate([first[few], first[many], past])
+            size = np.concatenate([end[few], own, end[many]]) - start
+            for i, j in spans(rows, start, size):
+                half = np.bitwise_count(ha[i] ^ hb[j])
+                some = np.flatnonzero(half <= distance)
+                i, j = i[some], j[some]
+                some = (half[some] + np.bitwise_count(la[i] ^ lb[j]) <= distance) & (ra[i] != rb[j])
+                x, y = ra[i[some]], rb[j[some]]
+                found.append(np.unique(np.minimum(x, y) * len(roots) + np.maximum(x, y)))
+    found = np.unique(np.concatenate(found))
+    return np.stack([roots[found // len(roots)], roots[found % len(roots)]], 1)
+
+
+def root_pairs(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """(a, b): the unlike roots of each two fingerprints (id, hi, lo, root) within distance.
+
+    Rows are cut in blocks by a hash of their id, and each two blocks, or one with itself, are a task's work: a row is sent
+    once for each block. There are as many blocks as keep one at block rows, or as give every core work.
+    """
+    n, tasks = fps.count(), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = max(1, math.ceil(n / block), min(math.ceil(math.sqrt(2 * tasks)), math.ceil(n / LEAST_BLOCK)))
+    least, most = F.least("part", "other"), F.greatest("part", "other")
+    rows = fps.select("id", "hi", "lo", "root", F.pmod(F.xxhash64("id"), F.lit(q)).alias("part"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q - 1).cast("bigint"))))
+    rows = rows.select((most * (most + 1) / 2 + least).cast("bigint").alias("task"), (F.col("part") > F.col("other")).alias("second"), (F.col("part") == F.col("other")).alias("alone"), "hi", "lo", "root")
+
+    def run(batches):
+        parts = (tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(6)) for b in batches if b.num_rows)
+        for _, (task, second, alone, hi, lo, root) in by_bucket(parts, None):
+            packed = np.stack([hi, lo], 1).view(np.uint64)
+            start = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
+            for s, e in zip(start, np.r_[start[1:], len(task)]):
+                x = second[s:e]
+                one, two = ((packed[s:e][y], root[s:e][y]) for y in ((x | ~x,) * 2 if alone[s] else (~x, x)))
+                got = across(*one, *two, distance)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+
+    # one task to a partition, as long as there aren't too many
+    pairs = min(q * (q + 1) // 2, 1 << 14)
+    return rows.repartitionById(pairs, F.pmod("task", F.lit(pairs)).cast("int")).sortWithinPartitions("task").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def near_edges(fps: DataFrame, distance: int = DISTANCE, tables: int | None = None, sampled: int | None = None, most: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """(a, b) ids of distinct fingerprints (id, hi, lo); their components are those of all pairs within distance.
+
+    Buckets of sampled bits connect most of what is near, a pair at a time where it's cheap. What they left apart is
+    searched in full by root_pairs(), which passes over pairs that are connected.
+    """
+    roots = components(bucket_pairs(fps, distance, tables, sampled, most))
+    grouped = fps.join(small(roots), fps["id"] == roots["node"], "left").select("id", "hi", "lo", F.coalesce("root", "id").alias("root"))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(root_pairs(cut(grouped), distance, block))
+
+
 def groups(fps: DataFrame) -> DataFrame:
     """(doc_id, key, keep_id, keep_key) for each (doc_id, key) of fingerprints() in a group of two or more; one row per pair."""
     fps = fps.select("doc_id", "key", "hi", "lo").distinct()
@@ -218,7 +333,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     so exact copies cost no search. Distinct ones meet in buckets of sampled bits; within a bucket, precomputed distances
     to reference fingerprints discard most pairs (no pair within 18 can differ by more than 18 in any of them) and exact
     Hamming distances decide. Tables and sampled bits follow the number of fingerprints, see plan(). A crowded bucket is cut
-    in blocks, each two of which are a task's work, so that no pair of it is left out and no task holds it all.
+    in blocks, each two of which are a task's work, so that no pair of it is left out and no task holds it all. Pairs that
+    share no bucket are found by root_pairs(), so that the groups are those of all pairs within 18.
 
     Rows with a null doc_id, and with null, empty or wordless text, are in no group. Of texts that share a doc_id, each
     counts on its own; a row whose doc_id is also the kept one isn't listed. Other columns aren't looked at. An empty

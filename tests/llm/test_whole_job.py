@@ -1,9 +1,11 @@
 """What the operators once left out."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from glyphtally.llm import pii, secrets, templates
+from glyphtally.llm import pii, secrets, simhash, templates
+from glyphtally.llm.common import components
 
 LINE = "All rights of this fine site are reserved by us."
 WORDS = "own words of this document alone and of no other one".split()
@@ -42,3 +44,33 @@ def test_secrets_of_letters_alone():
 def test_variety_counts_the_whole_value():
     # 3.3 bits: half of it is one letter, the other half 25 letters alike
     assert secrets.categories("a" * 5000 + "bcdefghijklmnopqrstuvwxyz" * 200)[2] == 3
+
+
+def test_simhash_pairs_that_share_no_bucket(spark):
+    """Every pair at the largest distance, and none beyond it, whatever buckets it shares; blocks and crowded cells don't matter."""
+    rng = np.random.default_rng(11)
+    one = rng.integers(0, 2, (400, 128)).astype(np.uint8)
+    two = one.copy()
+    for k, row in enumerate(two):
+        row[rng.choice(128, simhash.DISTANCE + k % 2, replace=False)] ^= 1
+    x = np.packbits(np.concatenate([one, two]), axis=1).view(np.int64)
+    fps = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(x)], "id long, hi long, lo long").checkpoint()
+    want = {i: i % 400 for i in range(800) if i % 2 == 0}
+    assert len(components(simhash.bucket_pairs(fps)).collect()) < len(want)
+    for block in (100, simhash.BLOCK):
+        assert {r.node: r.root for r in components(simhash.near_edges(fps, block=block)).collect()} == want
+
+
+def test_simhash_search_equals_brute_force(monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 100)
+    monkeypatch.setattr(simhash, "CELL", 3)
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2, (20, 128)).astype(np.uint8)[rng.integers(0, 20, 300)]
+    for row in base:
+        row[rng.choice(128, rng.integers(0, 16), replace=False)] ^= 1
+    x, root = np.packbits(base, axis=1).view(np.uint64), rng.integers(0, 60, 300)
+    far = np.bitwise_count(x[:, None] ^ x[None]).sum(2)
+    for distance in (0, 5, 18):
+        want = {(min(root[i], root[j]), max(root[i], root[j])) for i in range(150) for j in range(150, 300) if far[i, j] <= distance and root[i] != root[j]}
+        for n in (6, 9, 16):
+            assert set(map(tuple, simhash.across(x[:150], root[:150], x[150:], root[150:], distance, n).tolist())) == want
