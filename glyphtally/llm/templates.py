@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard, fresh, small, table, text_key, written
 
-#: Leading tokens that the tree looks at; least share of equal tokens to join a template; least documents of a recurring template; least fixed tokens of a template; most distinct lines of a leaf; share of a document that recurs, and of the documents with a template, from which they count as copies.
-DEPTH, SIMILARITY, MIN_DOCS, MIN_FIXED, LEAF_LINES, COPY_SHARE = 3, 0.7, 3, 4, 4096, 0.5
+#: Leading tokens that the tree looks at; least share of equal tokens to join a template; least documents of a recurring template; least fixed tokens of a template; share of a document that recurs, and of the documents with a template, from which they count as copies.
+DEPTH, SIMILARITY, MIN_DOCS, MIN_FIXED, COPY_SHARE = 3, 0.7, 3, 4, 0.5
+#: Templates of a leaf from which an index leads to those that a line may join; rows of a result that are sent at once.
+INDEXED, ROWS = 512, 10_000
 ANY = "<*>"
 
 
@@ -45,33 +49,74 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select("id", "key", "total", "line_no", "size", n_tokens(F.col("line")).alias("n"), F.xxhash64(F.substring_index("line", " ", DEPTH)).alias("p"), "line")
 
 
-def parse_leaf(lines: list[str], similarity: float = SIMILARITY, min_fixed: int = MIN_FIXED) -> list[str]:
-    """The template of each distinct line of a leaf (same token count), in the order given: the most similar one so far, or a new one."""
-    codes: dict[str, int] = {ANY: 0}
-    templates = np.empty((16, 0), np.int32)
-    found, at = 0, []
-    for line in lines:
-        row = np.array([codes.setdefault(t, len(codes)) for t in line.split(" ")], np.int32)
-        if not found:
-            templates = np.empty((16, len(row)), np.int32)
-        equal = (templates[:found] == row) & (row != 0)
-        score = equal.sum(1)
+class Leaf:
+    """The templates of a leaf (same token count), as its lines come: each line joins the most similar one so far, or is a new one."""
+
+    def __init__(self, similarity: float = SIMILARITY, min_fixed: int = MIN_FIXED):
+        self.similarity, self.min_fixed = similarity, min_fixed
+        self.codes: dict[str, int] = {ANY: 0}
+        self.templates, self.found = np.empty((16, 0), np.int32), 0
+        # (position, token) of the first `upto` templates in order, and whose they are
+        self.keys, self.owner, self.upto = np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+
+    def index(self) -> None:
+        """Built again when an eighth of the templates isn't in it. What is variable by now stays in it, which adds candidates and loses none."""
+        t = self.templates[: self.found]
+        owner, at = np.nonzero(t)
+        keys = at.astype(np.int64) << 32 | t[owner, at]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner, self.upto = keys[order], owner[order].astype(np.int32), self.found
+
+    def candidates(self, row: np.ndarray, least: int):
+        """Templates, in order, among which are all that share least fixed tokens with row.
+
+        One that does shares one at least of any fixed - least + 1 tokens of the row: the rarest are looked up.
+        """
+        if self.found < INDEXED or least < 1:
+            return slice(0, self.found)
+        if 8 * self.upto < 7 * self.found:
+            self.index()
+        at = np.flatnonzero(row)
+        keys = at.astype(np.int64) << 32 | row[at]
+        first, end = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        rarest = np.argsort(end - first, kind="stable")[: max(0, len(at) - least + 1)]
+        some = [self.owner[first[k] : end[k]] for k in rarest if end[k] > first[k]]
+        return np.concatenate([np.unique(np.concatenate(some)) if some else self.owner[:0], np.arange(self.upto, self.found, dtype=np.int32)])
+
+    def add(self, line: str) -> int:
+        """The number of the line's template."""
+        row = np.array([self.codes.setdefault(t, len(self.codes)) for t in line.split(" ")], np.int32)
+        if not self.found:
+            self.templates = np.empty((16, len(row)), np.int32)
         fixed = max(1, int((row != 0).sum()))
-        k = int(score.argmax()) if found else -1
-        if k >= 0 and score[k] >= max(similarity * fixed, min_fixed):
-            templates[k, templates[k] != row] = 0
-        else:
-            if found == len(templates):
-                templates = np.concatenate([templates, np.empty_like(templates)])
-            k, found = found, found + 1
-            templates[k] = row
-        at.append(k)
-    words = list(codes)
-    texts = [" ".join(words[c] for c in t) for t in templates[:found]]
+        need = max(self.similarity * fixed, self.min_fixed)
+        some = self.candidates(row, math.ceil(need))
+        score = ((self.templates[some] == row) & (row != 0)).sum(1)
+        best = int(score.argmax()) if len(score) else -1
+        if best >= 0 and score[best] >= need:
+            k = best if isinstance(some, slice) else int(some[best])
+            self.templates[k, self.templates[k] != row] = 0
+            return k
+        if self.found == len(self.templates):
+            self.templates = np.concatenate([self.templates, np.empty_like(self.templates)])
+        self.templates[self.found] = row
+        self.found += 1
+        return self.found - 1
+
+    def texts(self) -> list[str]:
+        words = list(self.codes)
+        return [" ".join(words[c] for c in t) for t in self.templates[: self.found]]
+
+
+def parse_leaf(lines: list[str], similarity: float = SIMILARITY, min_fixed: int = MIN_FIXED) -> list[str]:
+    """The template of each distinct line of a leaf (same token count), in the order given."""
+    leaf = Leaf(similarity, min_fixed)
+    at = [leaf.add(line) for line in lines]
+    texts = leaf.texts()
     return [texts[k] for k in at]
 
 
-def bounded(lines: DataFrame, most: int = LEAF_LINES) -> DataFrame:
+def bounded(lines: DataFrame, most: int) -> DataFrame:
     """Distinct lines (n, p, h, line) with leaf, a hash: leaves of more than most lines branch on as many tokens again, until they hold no more.
 
     With all its tokens a line is alone in its leaf, so this ends, after the logarithm of the longest crowded line in rounds.
@@ -87,7 +132,7 @@ def bounded(lines: DataFrame, most: int = LEAF_LINES) -> DataFrame:
         rows = cut(here.select("n", "p", "h", "line", F.when(F.col("many"), far).otherwise(F.col("leaf")).alias("leaf")))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leaf_lines: int = LEAF_LINES) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leaf_lines: int | None = None) -> DataFrame:
     """(id, key, line_no, size, total, template, n_docs) of each line whose template occurs in min_docs unlike texts or more."""
     spark = docs.sparkSession
     # the lines are made once; what follows reads the columns that it needs
@@ -97,26 +142,32 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leaf_lines: int =
     discard(spark, path)
 
     def parse(frames):
-        held: list[tuple[int, int, int, int, str]] = []
-
-        def flush(rows):
-            return [(n, p, h, t) for (n, _, p, h, _), t in zip(rows, parse_leaf([x[4] for x in rows]))]
-
         cols = ["n", "p", "h", "template"]
         types = {"n": "int32", "p": "int64", "h": "int64"}
+        name, leaf, held, out = None, None, [], []
+
+        def flush():
+            texts = leaf.texts() if held else []
+            for n, p, h, k in held:
+                out.append((n, p, h, texts[k]))
+                if len(out) == ROWS:
+                    yield pd.DataFrame(out, columns=cols).astype(types)
+                    out.clear()
+
+        # lines go as they come; of a leaf its templates are held, and for each line its numbers
         for frame in frames:
-            out = []
-            for row in zip(*(frame[c].tolist() for c in ("n", "leaf", "p", "h", "line"))):
-                if held and held[0][:2] != row[:2]:
-                    out += flush(held)
-                    held = []
-                held.append(row)
+            for n, of, p, h, line in zip(*(frame[c].tolist() for c in ("n", "leaf", "p", "h", "line"))):
+                if name != (n, of):
+                    yield from flush()
+                    name, leaf, held = (n, of), Leaf(), []
+                held.append((n, p, h, leaf.add(line)))
+        yield from flush()
+        if out:
             yield pd.DataFrame(out, columns=cols).astype(types)
-        if held:
-            yield pd.DataFrame(flush(held), columns=cols).astype(types)
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    leaves = bounded(candidates.select("n", "p", "h", "line").distinct(), leaf_lines)
+    leaves = candidates.select("n", "p", "h", "line").distinct()
+    leaves = leaves.withColumn("leaf", F.col("p")) if leaf_lines is None else bounded(leaves, leaf_lines)
     parsed = leaves.repartition(tasks, "n", "leaf").sortWithinPartitions("n", "leaf", "line").mapInPandas(parse, "n int, p bigint, h bigint, template string")
     fixed = F.size(F.filter(F.split("template", " ", -1), lambda t: t != ANY))
     where = cut(candidates.drop("line").join(parsed.where(fixed >= F.least(F.lit(MIN_FIXED), "n")), ["n", "p", "h"]).drop("h"))
@@ -124,12 +175,13 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leaf_lines: int =
     return where.join(counts, ["n", "p", "template"]).select("id", "key", "line_no", "size", "total", "template", "n_docs")
 
 
-def gone_lines(docs: DataFrame, min_docs: int = MIN_DOCS, copy_share: float = COPY_SHARE, leaf_lines: int = LEAF_LINES) -> DataFrame:
+def gone_lines(docs: DataFrame, min_docs: int = MIN_DOCS, copy_share: float = COPY_SHARE, leaf_lines: int | None = None) -> DataFrame:
     """(doc_id, key, line_no, template, n_docs) of each line that goes.
 
     Lines are masked (tokens with digits become <*>), led by token count and first three tokens to a leaf of the tree, and
     there joined to the most similar template if 70 % of their fixed tokens, and four at least, agree; what differs becomes <*>.
-    A leaf of over leaf_lines distinct lines branches on further tokens. Lines of up to three tokens are whole paths of the
+    A leaf has as many lines as there are: whether two lines meet doesn't depend on how many others there are, unless the
+    caller sets leaf_lines, from which on a leaf branches on further tokens. Lines of up to three tokens are whole paths of the
     tree, so they meet their equals alone. Lines of a leaf come in the order of their text, so that the result doesn't
     depend on partitions. A template recurs in min_docs unlike texts or more; it has four fixed tokens, or no variable field
     where it is shorter. Equal texts count once: to drop copies of a document is document dedup's work.

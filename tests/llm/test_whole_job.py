@@ -74,3 +74,34 @@ def test_simhash_search_equals_brute_force(monkeypatch):
         want = {(min(root[i], root[j]), max(root[i], root[j])) for i in range(150) for j in range(150, 300) if far[i, j] <= distance and root[i] != root[j]}
         for n in (6, 9, 16):
             assert set(map(tuple, simhash.across(x[:150], root[:150], x[150:], root[150:], distance, n).tolist())) == want
+
+
+def many_alike(n):
+    """n documents, each with a line of its own and one of a leaf; all those of the leaf differ in their fourth token alone."""
+    word = lambda i: "".join("abcdefghij"[i // 10**k % 10] for k in range(4))
+    return [(i, f"{word(i)} has words of its own that nobody else has, {word(i)}\nit was the {word(i)} that came here to see us all today") for i in range(n)]
+
+
+def test_line_dedup_is_the_same_in_a_large_leaf(spark):
+    """A template that unlike texts share recurs, however many distinct lines its leaf has."""
+    for n in (40, 4200):
+        d = spark.createDataFrame(many_alike(n), "doc_id long, text string")
+        got = {(r.doc_id, r.line_no, r.template, r.n_docs) for r in templates.gone_lines(d, copy_share=1.0).where("line_no = 1").collect()}
+        assert got == {(i, 1, "it was the <*> that came here to see us all today", n) for i in range(n)}
+
+
+def test_indexed_leaf_equals_one_without_index(monkeypatch):
+    rng = np.random.default_rng(5)
+    lines = set()
+    for width in (6, 15):
+        base = rng.zipf(1.4, (200, width)) % 500
+        for _ in range(1500):
+            row = base[rng.integers(0, 200)].copy()
+            at = rng.integers(0, width, rng.integers(0, width))
+            row[at] = rng.zipf(1.4, len(at)) % 500
+            lines.add("it was the " + " ".join("<*>" if x % 17 == 5 else f"w{x}" for x in row))
+        some = sorted(x for x in lines if x.count(" ") == width + 2)
+        monkeypatch.setattr(templates, "INDEXED", 10**9)
+        want = templates.parse_leaf(some)
+        monkeypatch.setattr(templates, "INDEXED", 4)
+        assert templates.parse_leaf(some) == want and len(set(want)) < len(some)
