@@ -1,5 +1,6 @@
 """What the operators once left out."""
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -105,3 +106,11 @@ def test_indexed_leaf_equals_one_without_index(monkeypatch):
         want = templates.parse_leaf(some)
         monkeypatch.setattr(templates, "INDEXED", 4)
         assert templates.parse_leaf(some) == want and len(set(want)) < len(some)
+
+
+def test_pipeline_drops_lines_of_a_large_leaf(spark):
+    """The pipeline's stage cuts the same lines out of many documents as out of few."""
+    for n in (40, 4200):
+        rows = many_alike(n)
+        out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+        assert {r.doc_id: r.text for r in out.collect()} == {i: text.split("\n")[0] for i, text in rows}
