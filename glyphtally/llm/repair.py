@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -19,6 +20,10 @@ from .common import table
 #: A rule is three numbers (two symbols and a length) and saves one for each use, so a pair that occurs three times or less doesn't pay.
 VOCABULARY, SHARD_TOKENS, MIN_COUNT, BATCH_BYTES = "/opt/tokenizers/byte_bpe_50k.tiktoken", 1 << 20, 4, 1 << 23
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space of PATTERN; a blank that more of it surrounds, or that ends a run of it and the text, is inside one match. First and last bytes that its characters may have.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+INSIDE = re.compile(rf"[{WHITE}] (?:[{WHITE}]|\Z)")
+OPENS, CLOSES = (np.isin(np.arange(256), x) for x in ([*range(9, 14), 32, 0xC2, 0xE1, 0xE2, 0xE3], [*range(9, 14), 32, *range(0x80, 0xB0)]))
 SHARDS = "shard string, n_docs int, n_tokens bigint, vocabulary int, doc_ids array<bigint>, starts array<bigint>, symbols binary, rules binary, lengths binary"
 
 
@@ -29,44 +34,63 @@ def encoding(vocabulary: bytes) -> tiktoken.Encoding:
 
 
 class Words:
-    """Tokenizes batches by distinct words: a text without doubled blanks falls apart before each blank without a change to its tokens."""
+    """Tokenizes batches by distinct words: a text without blanks inside white space falls apart before each blank without a change to its tokens."""
 
-    def __init__(self, enc: tiktoken.Encoding, most: int = 1 << 20):
-        self.enc, self.most = enc, most
+    def __init__(self, enc: tiktoken.Encoding, most: int = 1 << 20, most_bytes: int = 1 << 26):
+        self.enc, self.most, self.most_bytes = enc, most, most_bytes
+        self.blank = np.zeros(enc.n_vocab, bool)
+        self.blank[[i for b, i in enc._mergeable_ranks.items() if b[:1] == b" "]] = True
         self.clear()
 
     def clear(self):
-        self.known: dict[str, int] = {}
-        self.every, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = pa.array([], pa.string())
+        self.every, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def add(self, found: list[list[int]]) -> int:
+    def add(self, every: np.ndarray, size: np.ndarray) -> int:
         """Keep the ids of words; the number of the first one."""
-        at, size = len(self.size), np.fromiter(map(len, found), np.int64, len(found))
-        self.size = np.concatenate([self.size, size])
-        self.every = np.concatenate([self.every, np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))])
+        at = len(self.size)
+        self.every, self.size = np.concatenate([self.every, every]), np.concatenate([self.size, size])
         return at
 
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of texts, one by one."""
+        # Arrow's strings are sound, so what the wrapper of encode_ordinary() checks needs no check
+        found = list(map(self.enc._core_bpe.encode_ordinary, texts))
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
+
+    def joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words with a blank before each, as one text: words have no blanks and no white space at their ends, so none of its tokens lies in two words, and those that begin with a blank begin a word."""
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        ids = np.array(self.enc._core_bpe.encode_ordinary(" " + text), np.int32)
+        return ids, np.diff(np.r_[np.flatnonzero(self.blank[ids]), len(ids)])
+
     def coded(self, texts: pa.Array):
         """(codes, first, n_words): words as numbers of what is kept, where each text's begin, how many they are."""
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or self.known.nbytes > self.most_bytes:
             self.clear()
-        whole = pc.or_(pc.match_substring(texts, "  "), pc.less(pc.binary_length(texts), 64)).to_numpy(zero_copy_only=False)
+        texts = texts.cast(pa.string())
+        whole = unsplit(texts) | pc.less(pc.binary_length(texts), 64).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         flat = lists.flatten()
         n_words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         first = np.cumsum(n_words) - n_words
         coded = flat.dictionary_encode()
-        # Arrow's strings are sound, so what the wrapper of encode_ordinary() checks needs no check
-        codes, one, known = coded.indices.to_numpy().astype(np.int64), self.enc._core_bpe.encode_ordinary, self.known
-        words = coded.dictionary.to_pylist()
-        number = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
-        new = np.flatnonzero(number < 0).tolist()
-        at = self.add([one(" " + words[k]) for k in new])
-        number[new] = np.arange(at, at + len(new))
-        known.update((words[k], at + j) for j, k in enumerate(new))
-        codes = number[codes]
+        words = coded.dictionary
+        number = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(number < 0)
+        words = words.take(pa.array(new))
+        size = pc.binary_length(words)
+        solid = pc.and_(pc.equal(pc.binary_length(pc.utf8_trim_whitespace(words)), size), pc.greater(size, 0)).to_numpy(zero_copy_only=False)
+        for some, encoded in ((solid, self.joined), (~solid, lambda x: self.each([" " + w for w in x.to_pylist()]))):
+            if some.any():
+                found = words.filter(pa.array(some))
+                at = self.add(*encoded(found))
+                number[new[some]] = np.arange(at, at + len(found))
+                self.known = pa.concat_arrays([self.known, found])
+        codes = number[coded.indices.to_numpy()]
         # the first word of a text has no blank before it, and a text that isn't split is its own first word; these aren't kept
-        at = self.add([one(texts[k].as_py() if whole[k] else flat[i].as_py()) for k, i in enumerate(first.tolist())])
+        at = self.add(*self.each([texts[k].as_py() if whole[k] else flat[i].as_py() for k, i in enumerate(first.tolist())]))
         codes[first] = np.arange(at, at + len(first))
         return codes, first, n_words
 
@@ -86,69 +110,146 @@ class Words:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text) of texts without nulls."""
-        codes, first, n_words = self.coded(texts)
-        size, every = self.size, self.every
-        lens, starts = size[codes], (np.cumsum(size) - size)[codes]
-        ends = np.cumsum(lens)
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        codes, first, _ = self.coded(texts)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(self.size)], pa.int32()), pa.array(self.every))
+        ids = lists.take(pa.array(codes)).flatten().to_numpy()
+        n_each = np.add.reduceat(self.size[codes], first)
         self.forget(len(first))
-        ids = every[np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return ids, np.diff(np.r_[0, ends[first + n_words - 1]]) if len(first) else np.zeros(0, np.int64)
+        return ids, n_each
 
 
-def replace_round(seq: np.ndarray, last: np.ndarray, next_id: int, least: int, min_count: int):
-    """One round: pairs that occur least times or more become nonterminals; None if there is no such pair.
-
-    Where chosen pairs overlap the more frequent one wins (among equals the lower), and in a run of one symbol every
-    second pair. A pair never goes over the end of a document.
-    """
-    code = (seq[:-1] << 32) | seq[1:]
-    bits = max(10, len(seq).bit_length())
-    slot = lambda c: ((c.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+def unsplit(texts: pa.Array) -> np.ndarray:
+    """Whether a text, of texts without nulls, has doubled blanks or INSIDE: these may not be cut before each blank."""
+    out = np.zeros(len(texts), bool)
+    _, offsets, data = texts.buffers()
+    if data is None:
+        return out
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)
+    k = np.flatnonzero(data[at[0] : at[-1]] == 32) + at[0]
+    # what follows a blank may be white space by its first byte, or the text ends
+    ends = at[1:][np.diff(at) > 0] - 1
+    k = np.r_[k[OPENS[data[np.minimum(k + 1, len(data) - 1)]]], ends[data[ends] == 32]]
+    row = np.searchsorted(at, k, "right") - 1
+    two = (k + 1 < at[row + 1]) & (data[np.minimum(k + 1, len(data) - 1)] == 32)
+    out[row[two]] = True
+    for i in np.unique(row[~two & (k > at[row]) & CLOSES[data[k - 1]]]).tolist():
+        out[i] = out[i] or INSIDE.search(texts[i].as_py()) is not None
+    return out
+
+
+def frequent(code: np.ndarray, least: int):
+    """(pairs, counts, good, k): the values that code has least times or more, in order, where code has one, and which."""
+    bits = max(10, len(code).bit_length())
+    slot = lambda c: ((c.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
     slots = slot(code)
-    slots[last[:-1]] = 1 << bits
-    total = np.bincount(slots, minlength=(1 << bits) + 1)
-    total[-1] = 0
     # pairs whose slot is hit too seldom can't be frequent; only the others are sorted and counted
-    may = np.flatnonzero((total >= least)[slots])
-    code, slots = code[may], slots[may]
+    good = np.flatnonzero((np.bincount(slots, minlength=1 << bits) >= least)[slots])
+    code, slots = code[good], slots[good]
     s = np.sort(code)
     edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
     counts = np.diff(np.r_[edge, len(s)])
     some = counts >= least
     pairs, counts = s[edge[some]], counts[some]
     if not len(pairs):
-        return None
+        return pairs, counts, good[:0], good[:0]
+    # a slot leads to one of its pairs; where that is another one, the pair is looked for
+    to = np.full(1 << bits, -1, np.int32)
+    to[slot(pairs)] = np.arange(len(pairs), dtype=np.int32)
+    k = to[slots]
+    hit = np.flatnonzero(k >= 0)
+    code, good, k = code[hit], good[hit], k[hit].astype(np.int64)
+    other = np.flatnonzero(pairs[k] != code)
+    k[other] = np.minimum(np.searchsorted(pairs, code[other]), len(pairs) - 1)
+    same = np.ones(len(k), bool)
+    same[other] = pairs[k[other]] == code[other]
+    return pairs, counts, good[same], k[same]
+
+
+def chosen(pairs: np.ndarray, counts: np.ndarray, k: np.ndarray, near: np.ndarray, min_count: int):
+    """(which of the pairs get rules, which occurrences are replaced), of occurrences k in order; near: whether one begins where the one before it ends.
+
+    Where chosen pairs overlap the more frequent one wins (among equals the lower), and in a run of one symbol every
+    second pair.
+    """
     rank = np.empty(len(pairs), np.int64)
     rank[np.lexsort((pairs, -counts))] = np.arange(len(pairs))
-    seen = np.zeros((1 << bits) + 1, bool)
-    seen[slot(pairs)] = True
-    hit = seen[slots]
-    code, at = code[hit], may[hit]
-    k = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
-    good = pairs[k] == code
-    at, k = at[good], k[good]
-    p = len(pairs) - rank[k]  # greater is better; positions are in order, so neighbours are next to each other here
-    near = np.r_[False, np.diff(at) == 1]
+    p = rank[k]
     same = near & np.r_[False, p[1:] == p[:-1]]
-    first = np.maximum.accumulate(np.where(~same, np.arange(len(at)), 0))
-    even = (np.arange(len(at)) - first) % 2 == 0
-    at, k, p = at[even], k[even], p[even]
-    near = np.diff(at) == 1
-    worse = np.zeros(len(at), bool)
-    worse[1:] |= near & (p[:-1] > p[1:])
-    worse[:-1] |= near & (p[1:] > p[:-1])
-    at, k = at[~worse], k[~worse]
-    uses = np.bincount(k, minlength=len(pairs))
-    ok = (uses >= max(2, min_count // 2)) | (rank == 0)
-    at, k = at[ok[k]], k[ok[k]]
-    new = np.cumsum(ok) - 1
-    seq = seq.copy()
-    last = last.copy()
-    seq[at] = next_id + new[k]
-    last[at] = last[at + 1]
+    if same.any():
+        first = np.maximum.accumulate(np.where(~same, np.arange(len(k)), 0))
+        use = np.flatnonzero((np.arange(len(k)) - first) % 2 == 0)
+        near = near[use] & np.r_[False, np.diff(use) == 1]
+        p = p[use]
+    else:
+        use = np.arange(len(k))
+    near = near[1:]
+    worse = np.zeros(len(use), bool)
+    worse[1:] |= near & (p[:-1] < p[1:])
+    worse[:-1] |= near & (p[1:] < p[:-1])
+    use = use[~worse]
+    ok = (np.bincount(k[use], minlength=len(pairs)) >= max(2, min_count // 2)) | (rank == 0)
+    return ok, use[ok[k[use]]]
+
+
+def replace_round(seq: np.ndarray, last: np.ndarray, next_id: int, least: int, min_count: int):
+    """One round: pairs that occur least times or more become nonterminals; None if there is no such pair. A pair never goes over the end of a document.
+
+    (seq, last, rules, where pairs may be frequent in the next round if least is min_count); seq and last as given are written over.
+    """
+    may = (np.bincount(seq) >= least)[seq]  # a pair is no more frequent than its symbols
+    at = np.flatnonzero(may[:-1] & may[1:] & ~last[:-1])
+    pairs, counts, good, k = frequent((seq[at].astype(np.int64) << 32) | seq[at + 1], least)
+    if not len(pairs):
+        return None
+    at = at[good]
+    ok, use = chosen(pairs, counts, k, np.r_[False, np.diff(at) == 1], min_count)
+    hit = at[use]
+    seq[hit] = next_id + (np.cumsum(ok) - 1)[k[use]]
+    last[hit] = last[hit + 1]
     keep = np.ones(len(seq), bool)
-    keep[at + 1] = False
-    return seq[keep], last[keep], np.stack([pairs[ok] >> 32, pairs[ok] & 0xFFFFFFFF], 1)
+    keep[hit + 1] = False
+    again = np.zeros(0, np.int64)
+    if least == min_count:
+        place = np.cumsum(keep) - 1
+        hit = place[hit]
+        again = np.concatenate([place[at[keep[at]]], hit, hit[hit > 0] - 1])
+    return seq[keep], last[keep], np.stack([pairs[ok] >> 32, pairs[ok] & 0xFFFFFFFF], 1), again
+
+
+def finish(seq: np.ndarray, last: np.ndarray, next_id: int, least: int, at: np.ndarray):
+    """(seq, last, rules of each round): rounds after one with the same least, until there is no such pair, as replace_round() makes them.
+
+    at is where that round says that pairs may be frequent. A pair of symbols that were there before a round doesn't get
+    more frequent by it, so of those only the ones that were frequent are counted again, and all that have a new symbol.
+    Symbols that go are passed over by links, and what is left moves up once, in the end.
+    """
+    after, before = np.arange(1, len(seq) + 1, dtype=np.int32), np.arange(-1, len(seq) - 1, dtype=np.int32)
+    keep, rules, mark = np.ones(len(seq), bool), [], np.zeros(len(seq), bool)
+    while True:
+        mark[at] = True
+        at = np.flatnonzero(mark)  # in order, each once
+        mark[at] = False
+        at = at[~last[at] & (after[at] < len(seq))]
+        pairs, counts, good, k = frequent((seq[at].astype(np.int64) << 32) | seq[after[at]], least)
+        if not len(pairs):
+            return seq[keep], last[keep], rules
+        at = at[good]
+        ok, use = chosen(pairs, counts, k, np.r_[False, after[at[:-1]] == at[1:]], least)
+        hit = at[use]
+        gone = after[hit]
+        seq[hit] = next_id + (np.cumsum(ok) - 1)[k[use]]
+        last[hit] = last[gone]
+        keep[gone] = False
+        after[hit] = beyond = after[gone]
+        inside = beyond < len(seq)
+        before[beyond[inside]] = hit[inside]
+        rules.append(np.stack([pairs[ok] >> 32, pairs[ok] & 0xFFFFFFFF], 1))
+        next_id += len(rules[-1])
+        left = before[hit]
+        at = np.concatenate([at[keep[at]], hit, left[left >= 0]])
 
 
 def compress(seq: np.ndarray, ends: np.ndarray, vocabulary: int, min_count: int = MIN_COUNT):
@@ -156,7 +257,7 @@ def compress(seq: np.ndarray, ends: np.ndarray, vocabulary: int, min_count: int
 
     ends has, increasing, where documents end in seq. Symbols under vocabulary are tokens; vocabulary + i is rule i.
     """
-    seq = seq.astype(np.int64)
+    seq = seq.astype(np.int32)
     last = np.zeros(len(seq), bool)
     some = np.diff(np.r_[0, ends]) > 0
     last[ends[some] - 1] = True
@@ -165,14 +266,17 @@ def compress(seq: np.ndarray, ends: np.ndarray, vocabulary: int, min_count: int
     least = max(min_count, len(seq) >> 8)
     while len(seq) > 1:
         r = replace_round(seq, last, n, least, min_count)
-        if least == min_count and r is None:
+        if r is not None:
+            seq, last, found, again = r
+            rules.append(found)
+            n += len(found)
+        if least == min_count:
+            if r is not None:
+                seq, last, found = finish(seq, last, n, least, again)
+                rules += found
+                n += sum(map(len, found))
             break
         least = max(min_count, least // 4)
-        if r is None:
-            continue
-        seq, last, found = r
-        rules.append(found)
-        n += len(found)
     all_rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     size = np.ones(n, np.int64)
     at = vocabulary
@@ -181,7 +285,7 @@ def compress(seq: np.ndarray, ends: np.ndarray, vocabulary: int, min_count: int
         at += len(r)
     out = np.zeros(len(ends), np.int64)
     out[some] = np.flatnonzero(last) + 1
-    return seq, np.maximum.accumulate(out) if len(out) else out, all_rules, size[vocabulary:]
+    return seq.astype(np.int64), np.maximum.accumulate(out) if len(out) else out, all_rules, size[vocabulary:]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocabulary: int, start: int = 0, stop: int | None = None) -> np.ndarray:

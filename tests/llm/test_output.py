@@ -222,6 +222,73 @@ def test_compress_leaves_no_frequent_pair():
     assert counts.max() < 4 + 3 and len(symbols) < 5000 and len(rules)
 
 
+def plain_rounds(docs, vocabulary, min_count):
+    """Rounds as compress() makes them, by counting every pair of the whole anew each time."""
+    rules, least = [], max(min_count, sum(map(len, docs)) >> 8)
+    while True:
+        counts = {}
+        for pair in (p for d in docs for p in zip(d, d[1:])):
+            counts[pair] = counts.get(pair, 0) + 1
+        pairs = sorted(((-n, p) for p, n in counts.items() if n >= least))
+        if not pairs and least == min_count:
+            return docs, rules
+        rank, uses, at = {p: i for i, (_, p) in enumerate(pairs)}, {}, []
+        for d in docs:
+            r = [rank.get(p) for p in zip(d, d[1:])]
+            for i in range(1, len(r)):
+                if r[i] is not None and r[i] == r[i - 1]:
+                    r[i] = None
+            beats = lambda i, j, r=r: 0 <= j < len(r) and r[j] is not None and r[j] < r[i]
+            at.append({i: d[i : i + 2] for i, x in enumerate(r) if x is not None and not beats(i, i - 1) and not beats(i, i + 1)})
+            for p in map(tuple, at[-1].values()):
+                uses[p] = uses.get(p, 0) + 1
+        taken = [p for p in sorted(p for _, p in pairs) if uses.get(p, 0) >= max(2, min_count // 2) or rank[p] == 0]
+        new = {p: vocabulary + len(rules) + i for i, p in enumerate(taken)}
+        rules, out = rules + taken, []
+        for d, hits in zip(docs, at):
+            hits = {i: new[tuple(p)] for i, p in hits.items() if tuple(p) in new}
+            out.append([hits.get(i, x) for i, x in enumerate(d) if i - 1 not in hits])
+        docs, least = out, max(min_count, least // 4)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_compress_counts_the_whole_once_for_each_threshold(seed, monkeypatch):
+    """The result is that of plain rounds, but rounds after the first at the least threshold look at what may have changed."""
+    rng = random.Random(seed)
+    words = [[rng.randrange(30) for _ in range(rng.randint(2, 9))] for _ in range(60)]
+    docs = [[x for _ in range(rng.randint(0, 90)) for x in words[min(rng.randrange(60), rng.randrange(60))] + [7] * rng.choice([0, 0, 3])] for _ in range(20)]
+    looked, plain = [], repair.replace_round
+    monkeypatch.setattr(repair, "replace_round", lambda seq, last, n, least, low: looked.append(least) or plain(seq, last, n, least, low))
+    symbols, stops, rules, _ = repair.compress(np.array([x for d in docs for x in d], np.int64), np.cumsum([len(d) for d in docs]), 30, 4)
+    want, want_rules = plain_rounds(docs, 30, 4)
+    assert [symbols[a:b].tolist() for a, b in zip([0, *stops], stops)] == want and [tuple(r) for r in rules.tolist()] == want_rules
+    assert len(looked) == len(set(looked)) > 1, looked
+
+
+def test_words_are_encoded_together():
+    """Distinct words take a few calls of the tokenizer, and ids are those of whole texts, whatever white space is about."""
+    with open(repair.VOCABULARY, "rb") as f:
+        w = repair.Words(repair.encoding(f.read()))
+    calls, core = [], w.enc._core_bpe
+
+    class Counted:
+        _core_bpe = type("Core", (), {"encode_ordinary": staticmethod(lambda t: calls.append(t) or core.encode_ordinary(t))})
+        n_vocab, _mergeable_ranks = w.enc.n_vocab, w.enc._mergeable_ranks
+
+    enc, w.enc = w.enc, Counted()
+    rng = random.Random(2)
+    texts = pa.array([" ".join("".join(rng.choices("abdeiklmnorstu\u00e9\n", k=rng.randint(3, 9))).strip() or "x" for _ in range(800)) for _ in range(5)])
+    assert w.encode(texts)[0].tolist() == [i for t in texts.to_pylist() for i in enc.encode_ordinary(t)]
+    assert len(calls) <= len(texts) + 1
+    w.enc = enc
+    white = ["\t", "\n", "\v", "\f", "\r", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\u201c", "a", "'s", " ", ""]
+    odd = [f"{'word ' * 16}{a}{b} {c}{d}" for a in ("x", "\xa0", " ") for b in white for c in white for d in ("", "y", " ", "\n z", "\xa0")]
+    for t in (pa.array(odd), pa.array(["  ", *odd], pa.large_string()).slice(1)):
+        ids, n = w.encode(t)
+        got, want = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])], list(map(enc.encode_ordinary, odd))
+        assert [a for a, b, c in zip(odd, got, want) if b != c] == [] and w.counts(t).tolist() == list(map(len, want))
+
+
 def test_grammars_messy(spark):
     d = messy.table(spark)
     with open(repair.VOCABULARY, "rb") as f:
