@@ -11,10 +11,18 @@ BLOCK = 1 << 20
 
 
 def histogram(counts: DataFrame, by: tuple[str, ...] = ("part", "kind")) -> DataFrame:
-    """(by, freq, keys): how many keys have a frequency. As long as there are distinct frequencies, which is short."""
+    """(by, freq, keys): how many keys have a frequency. As long as there are distinct frequencies, which is short. What has keys already is left as it is."""
+    if "keys" in counts.columns:
+        return counts
     return counts.groupBy(*by, "freq").agg(F.count("*").alias("keys"))
 
 
+def with_combined(histograms: DataFrame) -> DataFrame:
+    """Histograms (part, kind, freq, keys) with those of words and pairs together, as the kind combined."""
+    both = histograms.select("part", F.explode(F.array("kind", F.lit("combined"))).alias("kind"), "freq", "keys")
+    return both.groupBy("part", "kind", "freq").agg(F.sum("keys").alias("keys"))
+
+
 def series(counts: DataFrame) -> DataFrame:
     """(part, kind, freq) for parts and the whole (part 0), by words, pairs and both (combined): what the distributions are made of."""
     whole = counts.groupBy("kind", "key").agg(F.sum("freq").alias("freq")).select(F.lit(0).alias("part"), "kind", "freq")
@@ -62,6 +70,19 @@ def log_ranks(n: Column, most: Column) -> Column:
     return F.array_distinct(F.when(n <= most, F.sequence(F.lit(1).cast("long"), n)).otherwise(spread))
 
 
+def sample_of(histograms: DataFrame, most: Column | int, by: tuple[str, ...] = ("part", "kind")) -> DataFrame:
+    """sample() of rank_frequency(histograms), without the ranks that aren't wanted: a rank has the frequency whose last rank comes next."""
+    most = most if isinstance(most, Column) else F.lit(most)
+    last = F.sum("keys").over(Window.partitionBy(*by).orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, 0))
+    h = histogram(histograms, by).select(*by, last.alias("rank"), "freq")
+    sizes = h.groupBy(*by).agg(F.max("rank").alias("n"))
+    wanted = sizes.select(*by, F.explode(log_ranks(F.col("n"), most)).alias("rank"), F.lit(None).cast("long").alias("freq"))
+    # in falling order, for a frame that goes on to the end is made anew for each row
+    after = Window.partitionBy(*by).orderBy(F.desc("rank"), F.col("freq").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = wanted.withColumn("own", F.lit(True)).unionByName(h.withColumn("own", F.lit(False)))
+    return rows.withColumn("freq", F.last("freq", ignorenulls=True).over(after)).where("own").select(*by, "rank", "freq")
+
+
 def sample(ranks: DataFrame, most: Column | int, by: tuple[str, ...] = ("part", "kind")) -> DataFrame:
     """ranks thinned to log_ranks() for each curve; most is the size of a plot, so what is wanted is small."""
     most = most if isinstance(most, Column) else F.lit(most)
