@@ -78,3 +78,13 @@ def test_lemmas_and_stats(spark):
     out = tokens.lemmatize(d, lemmas, ["de"])
     assert {r.doc_id: r.tokens for r in out.collect()} == {1: ["casa", "metro"], 2: [], 3: []}
     assert {r.part: (r.docs_in, r.docs_out, r.docs_empty, r.tokens, r.lost_percent) for r in tokens.run_stats(d).collect()} == {1: (2, 1, 1, 3, 50.0), 2: (1, 1, 0, 1, 0.0)}
+
+
+def test_token_lists_by_slices():
+    import pyarrow as pa
+
+    from glyphtally.functions import affixes
+
+    texts = [None if i % 7 == 0 else f"Dr. {i} n. {i} km²" for i in range(2 * affixes.TEXTS + 3)]
+    assert affixes.token_lists(pa.array(texts)).to_pylist() == [None if t is None else affixes.tokens(t) for t in texts]
+    assert affixes.token_lists(pa.array([], pa.string())).to_pylist() == []
